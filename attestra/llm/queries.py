@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import bpe, forms, packing
+from . import bpe, bundles, forms, grouping, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +42,65 @@ def p2_forms(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("table_key", "row_key", F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"text_{i}").alias("text"), F.col(f"form_{i}").alias("form")) for i in (1, 2)])).alias("x")).select("table_key", "row_key", "x.*").distinct()
 
 
+# 5 splits that keep related records together
+
+
+def _linked_records(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The ids of both tables, and their linking keys; a key links within its own table and kind only."""
+    rel = table(spark, sf, "relation_examples").select("id", "group_id", "document_id")
+    idp = table(spark, sf, "identity_pairs").select("id", "identity_groups")
+    keyed = rel.select("id", F.explode(F.array(*[F.concat(F.lit(kind), bundles.linking_id(c)) for kind, c in (("g:", "group_id"), ("d:", "document_id"))])).alias("key"))
+    paired = idp.select("id", F.explode("identity_groups").alias("key")).select("id", F.concat(F.lit("i:"), bundles.linking_id("key")).alias("key"))
+    ids = rel.select("id", F.lit("relation_examples").alias("table_key")).unionByName(idp.select("id", F.lit("identity_pairs").alias("table_key")))
+    return ids, keyed.unionByName(paired)
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each id that is bundled with another, with the smallest id of its bundle."""
+    ids, keys = _linked_records(spark, sf)
+    return bundles.bundles(ids, "id", keys, "id", "key").where("bundle_size > 1").select(F.col("record").alias("id"), "bundle_id")
+
+
+@query
+def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The target split of every id of both tables."""
+    ids, keys = _linked_records(spark, sf)
+    plan = table(spark, sf, "split_plan").where("split_target is not null and target_fraction is not null")
+    fractions = {r["split_target"]: r["target_fraction"] for r in plan.collect()}  # a fixed table of three rows
+    return bundles.assigned(bundles.bundles(ids, "id", keys, "id", "key"), fractions).select(F.col("record").alias("id"), "bundle_id", "split_target")
+
+
+# 7 consolidating pairwise matches
+
+
+@query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each entity linked with another, and the smallest entity of its group."""
+    verdicts = table(spark, sf, "evaluation_results").where(F.col("raw_error").isNull() & (F.lower(F.trim("predicted_label")) == "same") & (F.size("pair") == 2))
+    judged = verdicts.select(F.col("pair")[0].alias("a"), F.col("pair")[1].alias("b"))
+    rows = table(spark, sf, "identity_pairs").select("identity_groups", "entity_1", "entity_2")
+    sides = rows.select(F.explode(F.array(*[F.struct(F.get("identity_groups", F.lit(i)).alias("k"), F.col(f"entity_{i + 1}").alias("e")) for i in (0, 1)])).alias("x")).select("x.*")
+    sides = sides.where("trim(k) <> '' and trim(e) <> ''").distinct()
+    least = sides.groupBy("k").agg(F.min("e").alias("a"))
+    links = judged.where("trim(a) <> '' and trim(b) <> ''").unionByName(sides.join(least, "k").select("a", F.col("e").alias("b")))
+    return grouping.boruvka(links, "a", "b").select(F.col("node").alias("entity_id"), F.col("root").alias("group_entity"))
+
+
+SQL["p7_found"] = """
+WITH RECURSIVE sides AS (
+  SELECT DISTINCT k, e FROM (SELECT identity_groups[1] AS k, entity_1 AS e FROM identity_pairs
+                             UNION ALL SELECT identity_groups[2], entity_2 FROM identity_pairs) WHERE trim(k) <> '' AND trim(e) <> ''),
+judged AS (
+  SELECT pair[1] AS a, pair[2] AS b FROM evaluation_results
+  WHERE raw_error IS NULL AND lower(trim(predicted_label)) = 'same' AND len(pair) = 2 AND trim(pair[1]) <> '' AND trim(pair[2]) <> ''),
+links AS (SELECT a, b FROM judged WHERE a <> b UNION SELECT (min(e) OVER (PARTITION BY k)), e FROM sides),
+edges AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
+reach(node, other) AS (SELECT a, b FROM edges UNION SELECT r.node, l.b FROM reach r JOIN edges l ON r.other = l.a)
+SELECT node AS entity_id, least(node, min(other)) AS group_entity FROM reach GROUP BY node
+"""
+
+
 # 8 encoding with a public tokenizer
 
 
