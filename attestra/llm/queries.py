@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import bpe, bundles, forms, grouping, packing
+from . import bpe, bundles, forms, grouping, packing, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,6 +129,21 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("containers", F.ceil(F.col("tokens") / packing.CAPACITY).alias("least"), "tokens", "fullest", F.round(1 - F.col("tokens") / (F.col("containers") * packing.CAPACITY), 6).alias("unused"))
 
 
+# 10 long exact spans shared between records
+
+
+@query
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each pair of documents that have at least 200 consecutive code points in common."""
+    return spans.Shared(table(spark, sf, "documents"), "doc_id", "text").pairs("doc_id_1", "doc_id_2")
+
+
+@query
+def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each document stands elsewhere."""
+    return spans.Shared(table(spark, sf, "documents"), "doc_id", "text").shares("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
