@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import bpe, bundles, forms, grouping, packing, spans
+from . import bpe, bundles, forms, grouping, overlap, packing, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +19,47 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+# 1 same or near-same records across splits
+
+
+def _split_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims, evidence and both records of a pair as texts of three kinds, with the side of the split."""
+    rel = table(spark, sf, "relation_examples").where("split in ('train', 'calibration', 'evaluation')")
+    idp = table(spark, sf, "identity_pairs").where("split in ('train', 'calibration', 'evaluation')")
+    train = F.col("split") == "train"
+    claims = rel.select(F.lit(1).alias("kind"), "id", train.alias("train"), F.col("claim").alias("text"))
+    evidence = rel.select(F.lit(2).alias("kind"), "id", train.alias("train"), F.concat_ws("\n", "evidence").alias("text"))
+    pairs = idp.select(F.lit(3).alias("kind"), "id", train.alias("train"), F.explode(F.array(F.map_values("record_1"), F.map_values("record_2"))).alias("values"))
+    return claims.unionByName(evidence).unionByName(pairs.select("kind", "id", "train", F.concat_ws("\n", "values").alias("text")))
+
+
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """table_key, id (held out), train_id, containment: each pair of rows once, with its greatest containment."""
+    matches, members = overlap.near_same(_split_records(spark, sf))
+    held = members.where("not train").select(F.col("a").alias("ea"), F.col("b").alias("eb"), "kind", "id").distinct()
+    train = members.where("train").select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("id").alias("train_id")).distinct()
+    rows = matches.join(held, ["ea", "eb"]).join(train, ["ta", "tb"]).where("id <> train_id")
+    key = F.when(F.col("kind") == 3, "identity_pairs").otherwise("relation_examples").alias("table_key")
+    return rows.groupBy(key, "id", "train_id").agg(F.round(F.max("containment"), 6).alias("containment"))
+
+
+@query
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of rows of one table, one in train and the other not, with the same or near-same claim, evidence or record."""
+    return _overlaps(spark, sf).select(F.least("id", "train_id").alias("id_1"), F.greatest("id", "train_id").alias("id_2"))
+
+
+@query
+def p1_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out rows that also stand in train, and their pairs, by table, split and source."""
+    where = None
+    for name in ("relation_examples", "identity_pairs"):
+        own = table(spark, sf, name).select(F.lit(name).alias("table_key"), "id", "split", "source_code").dropDuplicates(["id"])
+        where = own if where is None else where.unionByName(own)
+    rows = _overlaps(spark, sf).join(where, ["table_key", "id"])
+    return rows.groupBy("table_key", "split", "source_code").agg(F.countDistinct("id").alias("n_rows"), F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("containment"), 6).alias("mean_containment"))
+
+
 # 2 visually identical text
 
 
