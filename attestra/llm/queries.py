@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
-from . import bpe, bundles, forms, grouping, overlap, packing, spans
+from ..session import spread, staged, table
+from . import bpe, bundles, forms, grouping, names, overlap, packing, pieces, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,6 +83,32 @@ def p2_forms(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("table_key", "row_key", F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"text_{i}").alias("text"), F.col(f"form_{i}").alias("form")) for i in (1, 2)])).alias("x")).select("table_key", "row_key", "x.*").distinct()
 
 
+# 3 splitting oversized items
+
+
+def _long_items(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "relation_examples").select("id", F.posexplode("evidence").alias("item_pos", "item"))
+    return rows.where(F.length("item") > pieces.LIMIT)
+
+
+@query
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of evidence that come out in more than one piece."""
+    return pieces.pieces(_long_items(spark, sf), "item").where("piece_no = 1").select("id", "item_pos").distinct()
+
+
+SQL["p3_found"] = """
+SELECT DISTINCT id, CAST(i - 1 AS INTEGER) AS item_pos
+FROM (SELECT id, evidence, unnest(range(1, len(evidence) + 1)) AS i FROM relation_examples) WHERE length(evidence[i]) > 1200
+"""
+
+
+@query
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of every item above 1,200 characters; repeated deliveries once."""
+    return pieces.pieces(_long_items(spark, sf).dropDuplicates(["id", "item_pos"]), "item")
+
+
 # 5 splits that keep related records together
 
 
@@ -112,6 +138,28 @@ def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
     return bundles.assigned(bundles.bundles(ids, "id", keys, "id", "key"), fractions).select(F.col("record").alias("id"), "bundle_id", "split_target")
 
 
+# 6 variant spellings of names
+
+
+def _mentions(spark: SparkSession, sf: str) -> DataFrame:
+    sides = [F.struct(F.concat(F.col("example_id"), F.lit(f"#{i}")).alias("mention_key"), F.col(f"mention_{i}").alias("mention")) for i in (1, 2)]
+    return table(spark, sf, "er_examples").select(F.explode(F.array(*sides)).alias("x")).select("x.*")
+
+
+@query
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each pair of mention keys, smaller first, that name one entity."""
+    groups = staged(names.linked(_mentions(spark, sf), "mention_key", "mention"), "linked")
+    left, right = groups.withColumnRenamed("mention_key", "mention_key_1"), groups.withColumnRenamed("mention_key", "mention_key_2")
+    return left.join(right, "group_id").where("mention_key_1 < mention_key_2").select("mention_key_1", "mention_key_2")
+
+
+@query
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The group of every non-blank mention."""
+    return names.linked(_mentions(spark, sf), "mention_key", "mention")
+
+
 # 7 consolidating pairwise matches
 
 
