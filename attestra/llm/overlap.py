@@ -1,16 +1,19 @@
 """Same or near-same records across splits (problem 1).
 
 Two records are near-same if at least SAME of the words of the longer one stand in both, counted as often as they occur;
-the fold of `words` is applied, and order doesn't matter. The search is by hashes of pairs of neighbouring words
-(2-grams), losing no near-same pair within its bound:
+the fold of `words` is applied, and order doesn't matter. The search is by hashes of word 2-grams and loses no near-same
+pair within its bound:
 
 1. One scan gives each record its class (a 128-bit hash of its bag of words) and counts words in a fixed-size array.
-2. Of each record only its rarest 2-grams are used, as many as near-same records can differ in, and two more. Rarity is
-   the product of the words' counts; any order that all records share is safe.
+2. Of n words, near-same records have all but (1 - SAME) n in common, so among that many and two more of the rarest
+   words of either, two at least are common. The 2-grams are the pairs of these words, in order of rarity (any order
+   that all records share is safe; as the order of sentences must not matter, they are not neighbours in the text). The
+   words of long records are first dealt into buckets by hash; in at least one bucket the two are as near as in all.
+   So the number of 2-grams is in proportion to the length.
 3. A bit array of the evaluation records' 2-grams is broadcast (fixed size); training records are scanned for hits;
    a bit array of the hits then thins the evaluation side; what is left is joined on the 2-gram.
-4. The words of the classes that met are fetched by a third scan with a bit array of classes, joined by class, and the
-   containment of each evaluation record per training record is computed exactly.
+4. The words of the classes that met are fetched by a further scan with a bit array of classes, joined by class, and
+   the containment of each evaluation record per training record is computed exactly.
 
 Copies are one class throughout, so a text that fills a third of the table is compared once; pairs of ids are formed only
 from the matched classes.
@@ -31,6 +34,7 @@ from .bpe import _mixed
 from .words import unmarked, words
 
 SAME = 0.8
+BUCKET = 40  # words; above, a record is dealt into 2, 4, 8 ... buckets
 WORD_BITS = 18
 GRAM_BITS = 26  # 8 MB broadcast
 CLASS_BITS = 24
@@ -58,25 +62,53 @@ class _Batch:
             self.a = self.b = np.zeros(0, dtype=np.uint64)
 
     def rare_grams(self, counts: np.ndarray, same: float) -> tuple[np.ndarray, np.ndarray]:
-        """The rarest 2-grams of each record and their records; a record of one word has that word."""
-        h, n = self.hashes, len(self.hashes)
-        if not n:
-            return h, np.zeros(0, dtype=np.int64)
-        count = counts[(h >> np.uint64(64 - WORD_BITS)).astype(np.int64)].astype(np.float64)
-        last = np.concatenate([self.row[1:] != self.row[:-1], [True]])
-        nxt = np.minimum(np.arange(n) + 1, n - 1)
-        gram = np.where(last, h, _mixed(h * np.uint64(3) + h[nxt]))
-        weight = np.where(last, count, count * count[nxt])
-        use = ~last | (self.size[self.row] == 1)
-        gram, weight, row = gram[use], weight[use], self.row[use]
-        order = np.lexsort((gram, weight, row))
-        gram, row = gram[order], row[order]
-        fresh = np.concatenate([[True], (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])])
-        gram, row = gram[fresh], row[fresh]
-        begin = np.searchsorted(row, np.arange(len(self.rows)))
-        want = np.ceil((2 * (1 - same) + 1 / 12) * self.size).astype(np.int64) + 2
-        keep = np.arange(len(row)) - begin[row] < want[row]
-        return gram[keep], row[keep]
+        """The 2-grams of each record's rarest words, and their records."""
+        if not len(self.rows):
+            return self.hashes, np.zeros(0, dtype=np.int64)
+        # the k-th occurrence of a word is a word of its own
+        occurrence, row = self.occurrences()
+        weight = counts[(self.hashes[self.order] >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+        level = np.maximum(0, np.ceil(np.log2(self.size / BUCKET))).astype(np.int64)
+        level = np.where(self.size > BUCKET * 2.0**level, level + 1, level)
+        near_top = self.size >= same * BUCKET * 2.0**level
+        grams, rows = [], []
+        for up in (0, 1):
+            use = np.flatnonzero(near_top[row]) if up else np.arange(len(row))
+            if not len(use):
+                continue
+            h, r, w = occurrence[use], row[use], weight[use]
+            lv = (level + up)[r]
+            group = (r << np.int64(32)) | ((h >> np.uint64(8)).astype(np.int64) & ((np.int64(1) << lv) - 1))
+            order = np.lexsort((h, w, group))
+            h, r, lv, group = h[order], r[order], lv[order], group[order]
+            first = np.concatenate([[True], group[1:] != group[:-1]])
+            begin = np.flatnonzero(first)
+            size = np.diff(np.append(begin, len(h)))
+            part = np.cumsum(first) - 1
+            # a whole record may lack 1 - same of its words, a bucket with Dice similarity `same` up to (2 - 2 same) / (2 - same)
+            share = np.where(lv[begin] == 0, 1 - same, (2 - 2 * same) / (2 - same))
+            take = np.minimum(size, np.floor(size * share + 1e-9).astype(np.int64) + 2)
+            at = np.arange(len(h)) - begin[part]
+            later = np.where(at < take[part], take[part] - 1 - at, 0)
+            a = np.repeat(np.arange(len(h)), later)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+            salt = (lv.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            grams += [_mixed(_mixed(h[a] + salt[a]) * np.uint64(3) + h[b]), _mixed(h[begin[size == 1]] + salt[begin[size == 1]])]
+            rows += [r[a], r[begin[size == 1]]]
+        gram, row = np.concatenate(grams), np.concatenate(rows)
+        order = np.argsort(row, kind="stable")
+        return gram[order], row[order]
+
+    def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes that tell the occurrences of a word in a record apart, and their records; `order` has their places."""
+        h, r = self.hashes, self.row
+        self.order = np.lexsort((h, r))
+        h = h[self.order]
+        if not len(h):
+            return h, r
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        return _mixed(h + (np.arange(len(h)) - start).astype(np.uint64)), r
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Batch]]:
@@ -177,12 +209,7 @@ def near_same(records: DataFrame, same: float = SAME) -> tuple[DataFrame, DataFr
             seen.update(own.a[at].tolist())
             if len(seen) > 200_000:
                 seen.clear()
-            # the k-th occurrence of a word counts as a word of its own
-            order = np.lexsort((own.hashes, own.row))
-            h, r = own.hashes[order], own.row[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, dtype=bool)
-            start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, dtype=np.int64)
-            h = _mixed(h + (np.arange(len(h)) - start).astype(np.uint64))
+            h, r = own.occurrences()
             use = keep[r] if len(r) else np.zeros(0, dtype=bool)
             offsets = np.concatenate([[0], np.cumsum(own.size[at])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(own.a[at].view(np.int64)), pa.array(own.b[at].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[use].view(np.int64)))], names=["a", "b", "bag"])

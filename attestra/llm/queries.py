@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, staged, table
-from . import bpe, bundles, forms, grouping, names, overlap, packing, pieces, spans
+from . import bpe, bundles, forms, grouping, linkage, names, overlap, packing, pieces, spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,6 +109,21 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.pieces(_long_items(spark, sf).dropDuplicates(["id", "item_pos"]), "item")
 
 
+# 4 matching entities across sources without keys
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of records of the two catalogues that describe one work."""
+    return p4_links(spark, sf).select("left_id", "right_id")
+
+
+@query
+def p4_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The matched pairs with their confidence."""
+    return linkage.link(table(spark, sf, "catalog_left"), "left_id", "record_1", table(spark, sf, "catalog_right"), "right_id", "record_2")
+
+
 # 5 splits that keep related records together
 
 
