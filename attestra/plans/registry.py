@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    pass
+    from . import graphs, metrics, selection  # noqa: F401  (their queries register on import)
