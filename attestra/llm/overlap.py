@@ -1,19 +1,21 @@
 """Same or near-same records across splits (problem 1).
 
-Two records are near-same if at least SAME of the words of the longer one stand in both, counted as often as they occur;
-the fold of `words` is applied, and order doesn't matter. The search is by hashes of word 2-grams and loses no near-same
-pair within its bound:
+Two records are near-same if all words of the longer one but one in ONE_IN (rounded up) stand in both, counted as often as
+they occur; the fold of `words` is applied, and order doesn't matter. The search is by hashes of word n-grams and loses no
+near-same pair:
 
 1. One scan gives each record its class (a 128-bit hash of its bag of words) and counts words in a fixed-size array.
-2. Of n words, near-same records have all but (1 - SAME) n in common, so among that many and two more of the rarest
-   words of either, two at least are common. The 2-grams are the pairs of these words, in order of rarity (any order
-   that all records share is safe; as the order of sentences must not matter, they are not neighbours in the text). The
-   words of long records are first dealt into buckets by hash; in at least one bucket the two are as near as in all.
-   So the number of 2-grams is in proportion to the length.
-3. A bit array of the evaluation records' 2-grams is broadcast (fixed size); training records are scanned for hits;
-   a bit array of the hits then thins the evaluation side; what is left is joined on the 2-gram.
-4. The words of the classes that met are fetched by a further scan with a bit array of classes, joined by class, and
-   the containment of each evaluation record per training record is computed exactly.
+2. Among as many of the rarest words of either record as may be missing, and k more, k at least are common (in any order of
+   words that all records share). These words are dealt by hash into k - 1 buckets, so that two common words at least meet
+   in one of them: the n-grams are the pairs of words of a bucket, in order of rarity (as the order of sentences must not
+   matter, they are not neighbours in the text). k follows the length, so that the number of n-grams is in proportion to
+   it; records near a step of k have the n-grams of both steps.
+3. A Bloom filter of the evaluation records' n-grams is broadcast (fixed size); training records are scanned for hits; a
+   filter of the hits then thins the evaluation side; what is left is joined on the n-gram. Each hit carries a parity
+   sketch of its record's words, which differs in no more bits than the records in words: pairs too far apart end inside
+   the join, before anything is shuffled.
+4. The words of the classes that met are fetched by a further scan with a filter of classes, joined by class, and the
+   containment of each evaluation record per training record is computed exactly.
 
 Copies are one class throughout, so a text that fills a third of the table is compared once; pairs of ids are formed only
 from the matched classes.
@@ -33,10 +35,11 @@ from . import sketches
 from .bpe import _mixed
 from .words import unmarked, words
 
-SAME = 0.8
-BUCKET = 40  # words; above, a record is dealt into 2, 4, 8 ... buckets
+ONE_IN = 6  # words of which one, rounded up, may be missing; shorter records must have all words in common
+SKETCH = 4  # 64-bit words of the parity sketch
+BUCKET = 40  # words; above, a record's rarest words are dealt into 2, 4, 8 ... buckets
 WORD_BITS = 18
-GRAM_BITS = 26  # 8 MB broadcast
+GRAM_BITS = 27  # 16 MB broadcast
 CLASS_BITS = 24
 SLICE = 4096  # records handled at once
 
@@ -61,44 +64,49 @@ class _Batch:
         else:
             self.a = self.b = np.zeros(0, dtype=np.uint64)
 
-    def rare_grams(self, counts: np.ndarray, same: float) -> tuple[np.ndarray, np.ndarray]:
-        """The 2-grams of each record's rarest words, and their records."""
+    def rare_grams(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of each record's rarest words, and their records."""
         if not len(self.rows):
             return self.hashes, np.zeros(0, dtype=np.int64)
         # the k-th occurrence of a word is a word of its own
         occurrence, row = self.occurrences()
         weight = counts[(self.hashes[self.order] >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
-        level = np.maximum(0, np.ceil(np.log2(self.size / BUCKET))).astype(np.int64)
-        level = np.where(self.size > BUCKET * 2.0**level, level + 1, level)
-        near_top = self.size >= same * BUCKET * 2.0**level
+        order = np.lexsort((occurrence, weight, row))
+        occurrence, row = occurrence[order], row[order]
+        rank = np.arange(len(row)) - self.first[row]
+        step = np.maximum(0, np.ceil(np.log2(self.size / BUCKET))).astype(np.int64)
+        near_top = 1.25 * self.size + 2 >= BUCKET * 2.0**step
+        missing = np.where(self.size >= ONE_IN, -(-self.size // ONE_IN), 0)
         grams, rows = [], []
         for up in (0, 1):
-            use = np.flatnonzero(near_top[row]) if up else np.arange(len(row))
+            deal = np.int64(1) << (step + up)
+            use = np.flatnonzero((rank < (missing + deal + 1)[row]) & (near_top[row] if up else True))
             if not len(use):
                 continue
-            h, r, w = occurrence[use], row[use], weight[use]
-            lv = (level + up)[r]
-            group = (r << np.int64(32)) | ((h >> np.uint64(8)).astype(np.int64) & ((np.int64(1) << lv) - 1))
-            order = np.lexsort((h, w, group))
-            h, r, lv, group = h[order], r[order], lv[order], group[order]
-            first = np.concatenate([[True], group[1:] != group[:-1]])
-            begin = np.flatnonzero(first)
+            h, r = occurrence[use], row[use]
+            group = (r << np.int64(32)) | ((h >> np.uint64(8)).astype(np.int64) & (deal[r] - 1))
+            order = np.argsort(group, kind="stable")
+            h, r, group = h[order], r[order], group[order]
+            begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             size = np.diff(np.append(begin, len(h)))
-            part = np.cumsum(first) - 1
-            # a whole record may lack 1 - same of its words, a bucket with Dice similarity `same` up to (2 - 2 same) / (2 - same)
-            share = np.where(lv[begin] == 0, 1 - same, (2 - 2 * same) / (2 - same))
-            take = np.minimum(size, np.floor(size * share + 1e-9).astype(np.int64) + 2)
-            at = np.arange(len(h)) - begin[part]
-            later = np.where(at < take[part], take[part] - 1 - at, 0)
+            later = np.repeat(size, size) - 1 - (np.arange(len(h)) - np.repeat(begin, size))
             a = np.repeat(np.arange(len(h)), later)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
-            salt = (lv.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            grams += [_mixed(_mixed(h[a] + salt[a]) * np.uint64(3) + h[b]), _mixed(h[begin[size == 1]] + salt[begin[size == 1]])]
-            rows += [r[a], r[begin[size == 1]]]
+            salt = (deal.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[r]
+            alone = begin[self.size[r[begin]] == 1]
+            grams += [_mixed(_mixed(h[a] + salt[a]) * np.uint64(3) + h[b]), _mixed(h[alone] + salt[alone])]
+            rows += [r[a], r[alone]]
         gram, row = np.concatenate(grams), np.concatenate(rows)
         order = np.argsort(row, kind="stable")
         return gram[order], row[order]
 
+    def sketches(self) -> list[np.ndarray]:
+        """Parity sketches: each occurrence of a word flips one bit, so sketches differ in no more bits than the bags in words."""
+        h, r = self.occurrences()
+        bit = (h & np.uint64(63)).astype(np.uint64)
+        place = (h >> np.uint64(6)) % np.uint64(SKETCH)
+        return [np.bitwise_xor.reduceat(np.where(place == k, np.uint64(1) << bit, np.uint64(0)), self.first).view(np.int64) if len(h) else np.zeros(0, np.int64) for k in range(SKETCH)]
+
     def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes that tell the occurrences of a word in a record apart, and their records; `order` has their places."""
         h, r = self.hashes, self.row
@@ -118,7 +126,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield part, _Batch(part)
 
 
-def near_same(records: DataFrame, same: float = SAME) -> tuple[DataFrame, DataFrame]:
+def near_same(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Finds near-same records between the training split and the others.
 
     records: kind (int; only records of one kind are compared), id, train (boolean), text. Rows with a null in kind, id or
@@ -153,7 +161,7 @@ def near_same(records: DataFrame, same: float = SAME) -> tuple[DataFrame, DataFr
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.zeros(1 << (GRAM_BITS - 3), dtype=np.uint8)
             for _, own in _batches(batches):
-                sketches.set_bits(bits, own.rare_grams(counts.value, same)[0], GRAM_BITS)
+                sketches.set_bits(bits, own.rare_grams(counts.value)[0], GRAM_BITS)
             yield from sketches.parts(bits)
 
         return table.mapInArrow(build, sketches.KIND)
@@ -162,17 +170,18 @@ def near_same(records: DataFrame, same: float = SAME) -> tuple[DataFrame, DataFr
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()  # classes this task has given out; forgotten when large, as repeats do no harm
             for _, own in _batches(batches):
-                gram, row = own.rare_grams(counts.value, same)
+                gram, row = own.rare_grams(counts.value)
                 fresh = np.fromiter((c not in seen for c in own.a.tolist()), dtype=bool, count=len(own.a))
                 seen.update(own.a.tolist())
                 if len(seen) > 200_000:
                     seen.clear()
                 keep = fresh[row] & sketches.has_bits(bits.value, gram, GRAM_BITS) if len(row) else np.zeros(0, dtype=bool)
                 gram, row = gram[keep], row[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(own.a[row].view(np.int64)), pa.array(own.b[row].view(np.int64)), pa.array(own.size[row].astype(np.int32))], names=["gram", "a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(own.a[row].view(np.int64)), pa.array(own.size[row].astype(np.int32)), *[pa.array(s[row]) for s in own.sketches()]], names=["gram", "a", "n", *sketch])
 
-        return table.mapInArrow(find, "gram bigint, a bigint, b bigint, n int")
+        return table.mapInArrow(find, "gram bigint, a bigint, n int" + "".join(f", {s} bigint" for s in sketch))
 
+    sketch = [f"s{k}" for k in range(SKETCH)]
     held, training = rows.where("not train"), rows.where("train")
     asked = spark.sparkContext.broadcast(sketches.merged(grams_of(held), 1 << (GRAM_BITS - 3), "uint8"))
     train_hits = staged(hits_of(training, asked), "hits")
@@ -184,12 +193,19 @@ def near_same(records: DataFrame, same: float = SAME) -> tuple[DataFrame, DataFr
         yield from sketches.parts(bits)
 
     answered = spark.sparkContext.broadcast(sketches.merged(train_hits.select("gram").mapInArrow(bits_of, sketches.KIND), 1 << (GRAM_BITS - 3), "uint8"))
-    held_hits = hits_of(held, answered).select("gram", F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("n").alias("en")).distinct()
-    met = held_hits.join(train_hits.select("gram", F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("n").alias("tn")).distinct(), "gram")
-    met = met.where((F.least("en", "tn") >= same * F.greatest("en", "tn"))).select("ea", "eb", "ta", "tb", "en", "tn").distinct()
-    met = staged(met, "met")
+
+    def once(hits: DataFrame, side: str) -> DataFrame:
+        # one exchange serves the removal of repeats and the join
+        own = hits.repartition("gram").groupBy("gram", "a").agg(*[F.first(c).alias(f"{side}{c}") for c in ("n", *sketch)])
+        return own.withColumnRenamed("a", f"{side}a")
+
+    met = once(hits_of(held, answered), "e").join(once(train_hits, "t"), "gram")
+    longer = F.greatest("en", "tn")
+    least = longer - F.when(longer >= ONE_IN, F.ceil(longer / ONE_IN)).otherwise(0)
+    differing = sum((F.bit_count(F.col(f"e{s}").bitwiseXOR(F.col(f"t{s}"))) for s in sketch), F.lit(0))
+    could = (F.col("ea") != F.col("ta")) & (F.least("en", "tn") >= least) & (differing <= F.col("en") + F.col("tn") - 2 * least)
+    near = staged(met.where(could).select("ea", "ta", "en", "tn").distinct(), "met")
     unstage(train_hits)
-    near = met.where("ea <> ta or eb <> tb")
 
     def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (CLASS_BITS - 3), dtype=np.uint8)
@@ -217,7 +233,11 @@ def near_same(records: DataFrame, same: float = SAME) -> tuple[DataFrame, DataFr
     bag = staged(rows.mapInArrow(bags, "a bigint, b bigint, bag array<bigint>").groupBy("a", "b").agg(F.first("bag").alias("bag")), "bags")
     left = bag.select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("bag").alias("ebag"))
     right = bag.select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("bag").alias("tbag"))
-    scored = near.join(left, ["ea", "eb"]).join(right, ["ta", "tb"]).withColumn("n_shared", F.size(F.array_intersect("ebag", "tbag")))
-    scored = scored.unionByName(met.where("ea = ta and eb = tb").withColumn("n_shared", F.col("en")), allowMissingColumns=True)
+    # joined by the first half of the class hash, told apart by both
+    scored = near.join(left, "ea").join(right, "ta").withColumn("n_shared", F.size(F.array_intersect("ebag", "tbag")))
+    scored = scored.where((F.col("en") == F.size("ebag")) & (F.col("tn") == F.size("tbag"))).select("ea", "eb", "ta", "tb", "en", "tn", "n_shared")
+    classes = [described.where(side).select("a", "b", "n").distinct() for side in ("body is null and not train", "body is null and train")]
+    equal = classes[0].join(classes[1], ["a", "b", "n"]).select(F.col("a").alias("ea"), F.col("b").alias("eb"), F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("n").alias("en"), F.col("n").alias("tn"), F.col("n").alias("n_shared"))
+    scored = scored.unionByName(equal)
     scored = scored.withColumn("containment", F.col("n_shared") / F.col("en")).withColumn("similarity", F.col("n_shared") / F.greatest("en", "tn"))
-    return staged(scored.where(F.col("similarity") >= same).select("ea", "eb", "ta", "tb", "n_shared", "containment", "similarity"), "matches"), members
+    return staged(scored.where(F.col("n_shared") >= least).select("ea", "eb", "ta", "tb", "n_shared", "containment", "similarity"), "matches"), members

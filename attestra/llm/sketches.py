@@ -42,17 +42,20 @@ def merged(segments: DataFrame, size: int, dtype: str) -> np.ndarray:
     return out
 
 
-def bit(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Byte and mask of each hash in a bit array of 2**bits bits."""
-    at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    return at >> 3, (1 << (at & 7)).astype(np.uint8)
+def _places(hashes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Byte and mask of the two bits of each hash in a Bloom filter of 2**bits bits."""
+    for shift in (64 - bits, 32 - bits // 2):
+        at = ((hashes >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        yield at >> 3, (1 << (at & 7)).astype(np.uint8)
 
 
 def set_bits(array: np.ndarray, hashes: np.ndarray, bits: int) -> None:
-    byte, mask = bit(hashes, bits)
-    np.bitwise_or.at(array, byte, mask)
+    for byte, mask in _places(hashes, bits):
+        np.bitwise_or.at(array, byte, mask)
 
 
 def has_bits(array: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    byte, mask = bit(hashes, bits)
-    return array[byte] & mask > 0
+    out = np.ones(len(hashes), dtype=bool)
+    for byte, mask in _places(hashes, bits):
+        out &= array[byte] & mask > 0
+    return out
