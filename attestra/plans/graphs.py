@@ -74,9 +74,9 @@ def e12_graph_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Edges, typed edges, pairs, loops, reciprocal edges, nodes and the largest degree of the judged pairs."""
     e = table(spark, sf, "identity_pairs").where("entity_1 is not null and entity_2 is not null").select("id", F.col("entity_1").alias("a"), F.col("entity_2").alias("b"), F.col("gold_label").alias("t")).distinct()
     u = e.select("a", "b", "t").distinct()
-    deg = u.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(n.alias("deg"))
+    deg = u.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(n().alias("deg"))
     back = u.where("a < b").join(u.toDF("b", "a", "t"), ["a", "b", "t"])
-    parts = [e.agg(n.alias("edges")), u.agg(n.alias("typed"), F.count_distinct("a", "b").alias("pairs"), count(F.col("a") == F.col("b")).alias("loops")), back.agg(n.alias("reciprocal")), deg.agg(n.alias("nodes"), F.max("deg").alias("max_degree"))]
+    parts = [e.agg(n().alias("edges")), u.agg(n().alias("typed"), F.count_distinct("a", "b").alias("pairs"), count(F.col("a") == F.col("b")).alias("loops")), back.agg(n().alias("reciprocal")), deg.agg(n().alias("nodes"), F.max("deg").alias("max_degree"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(F.broadcast(p))  # one row each
@@ -160,7 +160,7 @@ SELECT formula_id, count(*) AS proofs, round(1 - exp(sum(ln(1 - CAST((s % 90 + 5
 def h1_independent(spark: SparkSession, sf: str) -> DataFrame:
     """Noisy OR of an order's distinct suppliers."""
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("formula_id"), "l_suppkey").distinct()
-    return lines.groupBy("formula_id").agg(n.alias("proofs"), F.round(1 - F.exp(F.sum(F.log(1 - F.expr(P.format("l_suppkey")).cast("double")))), 6).alias("p"))
+    return lines.groupBy("formula_id").agg(n().alias("proofs"), F.round(1 - F.exp(F.sum(F.log(1 - F.expr(P.format("l_suppkey")).cast("double")))), 6).alias("p"))
 
 
 @query("""

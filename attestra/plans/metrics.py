@@ -11,15 +11,16 @@ from ..operators.decisions import DECISIONS, LABELS, POSITIVE, decision_rows
 from ..session import table
 from .registry import query
 
-n = F.count(F.lit(1))
+def n() -> F.Column:
+    return F.count(F.lit(1))
 
 
 def count(condition) -> F.Column:
     return F.count(F.when(condition, 1))
 
 
-CORRECT = F.col("label") == F.col("gold")
-HIT = "CAST(count(*) FILTER (WHERE {}) AS BIGINT)"
+def correct() -> F.Column:
+    return F.col("label") == F.col("gold")
 
 
 def sql(body: str) -> str:
@@ -29,7 +30,7 @@ def sql(body: str) -> str:
 @query(sql("""SELECT arm, coalesce(gold, 'NONE') AS gold, label, count(*) AS n FROM d GROUP BY ALL"""))
 def e1_confusion(spark: SparkSession, sf: str) -> DataFrame:
     """Confusion counts with ERROR and ABSTAIN as predicted classes."""
-    return decision_rows(spark, sf).groupBy("arm", F.coalesce("gold", F.lit("NONE")).alias("gold"), "label").agg(n.alias("n"))
+    return decision_rows(spark, sf).groupBy("arm", F.coalesce("gold", F.lit("NONE")).alias("gold"), "label").agg(n().alias("n"))
 
 
 @query(sql("""
@@ -59,8 +60,8 @@ def e2_backend_summary(spark: SparkSession, sf: str) -> DataFrame:
     rows = decision_rows(spark, sf)
     ok, gold, answered = ~F.col("error") & F.col("gold").isNotNull(), F.col("gold").isNotNull(), F.col("label").isin(LABELS)
     return rows.groupBy("arm").agg(
-        n.alias("n"), count(gold).alias("eligible"), count(F.col("error")).alias("errors"), count(F.col("label") == "ABSTAIN").alias("abstained"), count(CORRECT).alias("correct"),
-        prob.ratio(count(CORRECT), count(gold)).alias("accuracy"), prob.ratio(count(answered), n).alias("coverage"), prob.ratio(count(CORRECT), count(gold & answered)).alias("selective_accuracy"),
+        n().alias("n"), count(gold).alias("eligible"), count(F.col("error")).alias("errors"), count(F.col("label") == "ABSTAIN").alias("abstained"), count(correct()).alias("correct"),
+        prob.ratio(count(correct()), count(gold)).alias("accuracy"), prob.ratio(count(answered), n()).alias("coverage"), prob.ratio(count(correct()), count(gold & answered)).alias("selective_accuracy"),
         F.round(F.avg(F.when(ok, prob.brier(F.col("dist"), F.col("gold"), LABELS))), 6).alias("brier"), F.round(F.avg(F.when(ok, prob.log_loss(F.col("dist"), F.col("gold")))), 6).alias("log_loss"))
 
 
@@ -69,12 +70,12 @@ def e2_backend_summary(spark: SparkSession, sf: str) -> DataFrame:
 SELECT arm, bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM b GROUP BY arm, bin"""))
 def e8_reliability(spark: SparkSession, sf: str) -> DataFrame:
     """Reliability curve: ten equal bins of the score, the last one closed."""
-    return _bins(spark, sf).groupBy("arm", "bin").agg(n.alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg("ok"), 6).alias("accuracy"))
+    return _bins(spark, sf).groupBy("arm", "bin").agg(n().alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg("ok"), 6).alias("accuracy"))
 
 
 def _bins(spark: SparkSession, sf: str, bins: int = 10) -> DataFrame:
     rows = decision_rows(spark, sf).where("gold is not null and not error and score is not null")
-    return rows.select("arm", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("bigint").alias("bin"), "score", F.when(CORRECT, 1.0).otherwise(0.0).alias("ok"))
+    return rows.select("arm", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("bigint").alias("bin"), "score", F.when(correct(), 1.0).otherwise(0.0).alias("ok"))
 
 
 @query(sql("""
@@ -83,7 +84,7 @@ def _bins(spark: SparkSession, sf: str, bins: int = 10) -> DataFrame:
 SELECT arm, round(sum(gap) / sum(n), 6) AS ece FROM b GROUP BY arm"""))
 def e5_ece(spark: SparkSession, sf: str) -> DataFrame:
     """Expected calibration error over ten bins."""
-    b = _bins(spark, sf).groupBy("arm", "bin").agg(n.alias("n"), F.abs(F.sum("score") - F.sum("ok")).alias("gap"))
+    b = _bins(spark, sf).groupBy("arm", "bin").agg(n().alias("n"), F.abs(F.sum("score") - F.sum("ok")).alias("gap"))
     return b.groupBy("arm").agg(F.round(F.sum("gap") / F.sum("n"), 6).alias("ece"))
 
 
@@ -106,7 +107,7 @@ def e4_mcc(spark: SparkSession, sf: str) -> DataFrame:
 SELECT arm, round(avg(risk), 6) AS aurc FROM r GROUP BY arm"""))
 def e5_aurc(spark: SparkSession, sf: str) -> DataFrame:
     """Area under the risk-coverage curve: the mean error of all prefixes in order of score, then id."""
-    wrong = F.when(CORRECT, 0.0).otherwise(1.0)
+    wrong = F.when(correct(), 0.0).otherwise(1.0)
     run = F.avg(wrong).over(W.partitionBy("arm").orderBy(F.desc("score"), "id").rowsBetween(W.unboundedPreceding, 0))
     rows = decision_rows(spark, sf).where("gold is not null and not error and score is not null").select("arm", run.alias("risk"))
     return rows.groupBy("arm").agg(F.round(F.avg("risk"), 6).alias("aurc"))
@@ -120,10 +121,10 @@ SELECT c.arm, score, CAST(accepted AS BIGINT) AS accepted, round(accepted / CAST
 def f1_risk_curve(spark: SparkSession, sf: str) -> DataFrame:
     """Risk and coverage at each score: ties are admitted as a block, coverage is of all eligible rows."""
     rows = decision_rows(spark, sf).where("gold is not null")
-    s = rows.where("score is not null").groupBy("arm", "score").agg(n.alias("n"), count(CORRECT).alias("ok"))
+    s = rows.where("score is not null").groupBy("arm", "score").agg(n().alias("n"), count(correct()).alias("ok"))
     w = W.partitionBy("arm").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
     c = s.select("arm", "score", F.sum("n").over(w).alias("accepted"), F.sum("ok").over(w).alias("right_"))
-    total = rows.groupBy("arm").agg(n.alias("total"))
+    total = rows.groupBy("arm").agg(n().alias("total"))
     return c.join(total, "arm").select("arm", "score", "accepted", prob.ratio(F.col("accepted"), F.col("total")).alias("coverage"), F.round(1 - F.col("right_") / F.col("accepted"), 6).alias("risk"))
 
 
@@ -132,7 +133,7 @@ def f1_risk_curve(spark: SparkSession, sf: str) -> DataFrame:
 SELECT arm, CAST(sum(bad) AS BIGINT) AS errors, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS tied_rows, CAST(max(n) AS BIGINT) AS largest_tie FROM s GROUP BY arm"""))
 def f2_ties(spark: SparkSession, sf: str) -> DataFrame:
     """How many rows stand in ties of the score, within which the order of acceptance is undefined."""
-    s = decision_rows(spark, sf).where("gold is not null and not error and score is not null").groupBy("arm", "score").agg(n.alias("n"), count(~CORRECT).alias("bad"))
+    s = decision_rows(spark, sf).where("gold is not null and not error and score is not null").groupBy("arm", "score").agg(n().alias("n"), count(~correct()).alias("bad"))
     return s.groupBy("arm").agg(F.sum("bad").alias("errors"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("tied_rows"), F.max("n").alias("largest_tie"))
 
 
@@ -142,7 +143,7 @@ SELECT arm, split, count(*) AS n, count(*) FILTER (WHERE label = 'same') AS edge
 def e6_edge_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Edges (accepted positive verdicts) by arm and split: right, wrong and missed."""
     edge = F.col("label") == POSITIVE
-    return decision_rows(spark, sf).groupBy("arm", "split").agg(n.alias("n"), count(edge).alias("edges"), count(edge & (F.col("gold") == POSITIVE)).alias("correct_edges"), count(edge & (F.col("gold") == "different")).alias("wrong_edges"), count((F.col("gold") == POSITIVE) & ~edge).alias("missed_edges"))
+    return decision_rows(spark, sf).groupBy("arm", "split").agg(n().alias("n"), count(edge).alias("edges"), count(edge & (F.col("gold") == POSITIVE)).alias("correct_edges"), count(edge & (F.col("gold") == "different")).alias("wrong_edges"), count((F.col("gold") == POSITIVE) & ~edge).alias("missed_edges"))
 
 
 @query(sql("""
@@ -151,8 +152,8 @@ SELECT arm, count(*) AS groups, CAST(max(n) AS BIGINT) AS largest, count(*) FILT
 def e7_component_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Two levels: groups with a wrong edge, and groups all of whose rows are right."""
     wrong = (F.col("label") == POSITIVE) & (F.col("gold") == "different")
-    g = decision_rows(spark, sf).where("gold is not null").groupBy("arm", "grp").agg(n.alias("n"), count(wrong).alias("wrong"), F.bool_and(CORRECT).alias("clean"))
-    return g.groupBy("arm").agg(n.alias("groups"), F.max("n").alias("largest"), count(F.col("wrong") > 0).alias("contaminated"), count(F.col("clean")).alias("complete_and_clean"))
+    g = decision_rows(spark, sf).where("gold is not null").groupBy("arm", "grp").agg(n().alias("n"), count(wrong).alias("wrong"), F.bool_and(correct()).alias("clean"))
+    return g.groupBy("arm").agg(n().alias("groups"), F.max("n").alias("largest"), count(F.col("wrong") > 0).alias("contaminated"), count(F.col("clean")).alias("complete_and_clean"))
 
 
 @query(sql("""
@@ -161,7 +162,7 @@ SELECT arm, execution_mode, count(*) AS calls, count(*) FILTER (WHERE error) AS
 def e10_usage(spark: SparkSession, sf: str) -> DataFrame:
     """Calls, failures, tokens and exact latency quantiles (linear interpolation)."""
     q = lambda p, name: F.round(F.percentile("latency", F.lit(p)), 4).alias(name)
-    return decision_rows(spark, sf).groupBy("arm", "execution_mode").agg(n.alias("calls"), count(F.col("error")).alias("failed"), count(F.col("tokens_in").isNull()).alias("unknown_usage"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), q(0.5, "p50"), q(0.95, "p95"), q(0.99, "p99"), F.round(F.avg("latency"), 4).alias("mean_latency"))
+    return decision_rows(spark, sf).groupBy("arm", "execution_mode").agg(n().alias("calls"), count(F.col("error")).alias("failed"), count(F.col("tokens_in").isNull()).alias("unknown_usage"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), q(0.5, "p50"), q(0.95, "p95"), q(0.99, "p99"), F.round(F.avg("latency"), 4).alias("mean_latency"))
 
 
 @query(sql("""
@@ -173,14 +174,14 @@ def e11_repeatability(spark: SparkSession, sf: str) -> DataFrame:
     v = decision_rows(spark, sf).where("not error").select("item", "arm", "id", "label", "p")
     w = v.toDF("item", "arm", "id2", "label2", "p2")
     r = v.join(w, ["item", "arm"]).where("id < id2").withColumn("tv", F.abs(F.col("p") - F.col("p2")))
-    return r.groupBy("arm").agg(n.alias("pairs"), count(F.col("label") != F.col("label2")).alias("flips"), F.round(F.avg("tv"), 6).alias("mean_tv"), count(F.col("tv") == 0).alias("exact"))
+    return r.groupBy("arm").agg(n().alias("pairs"), count(F.col("label") != F.col("label2")).alias("flips"), F.round(F.avg("tv"), 6).alias("mean_tv"), count(F.col("tv") == 0).alias("exact"))
 
 
 @query(sql("""
 SELECT arm, CASE WHEN dist IS NULL THEN 'missing' WHEN list_sort(map_keys(dist)) <> ['different', 'same'] THEN 'keys' WHEN abs(list_sum(map_values(dist)) - 1) > 1e-6 THEN 'sum' ELSE 'valid' END AS state, count(*) AS n FROM d GROUP BY ALL"""))
 def b2_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Distributions by what is wrong with them."""
-    return decision_rows(spark, sf).groupBy("arm", F.coalesce(prob.distribution_error(F.col("dist"), LABELS), F.lit("valid")).alias("state")).agg(n.alias("n"))
+    return decision_rows(spark, sf).groupBy("arm", F.coalesce(prob.distribution_error(F.col("dist"), LABELS), F.lit("valid")).alias("state")).agg(n().alias("n"))
 
 
 @query(sql("""SELECT id, label, CASE WHEN dist IS NULL THEN NULL WHEN dist['same'] >= dist['different'] THEN 'same' ELSE 'different' END AS top FROM d WHERE NOT error
@@ -205,12 +206,12 @@ def j1_temperature_grid(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT kind, coalesce(lang, 'none') AS lang, count(*) AS n, count(text) AS with_text, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT sha256(text)) AS distinct_texts FROM documents GROUP BY GROUPING SETS ((kind, lang)) """)
 def e23_corpus_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by kind and language: rows, texts, characters and distinct texts."""
-    return table(spark, sf, "documents").groupBy("kind", F.coalesce("lang", F.lit("none")).alias("lang")).agg(n.alias("n"), F.count("text").alias("with_text"), F.sum("n_chars").alias("chars"), F.count_distinct(F.sha2("text", 256)).alias("distinct_texts"))
+    return table(spark, sf, "documents").groupBy("kind", F.coalesce("lang", F.lit("none")).alias("lang")).agg(n().alias("n"), F.count("text").alias("with_text"), F.sum("n_chars").alias("chars"), F.count_distinct(F.sha2("text", 256)).alias("distinct_texts"))
 
 
 @query("""SELECT coalesce(split, 'all') AS split, coalesce(gold, 'all') AS gold, count(*) AS n, count(DISTINCT id) AS distinct_ids FROM (SELECT id, split, coalesce(lower(trim(gold_label)), 'none') AS gold FROM relation_examples) GROUP BY GROUPING SETS ((split, gold), (split), ())""")
 def e20_label_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Overall, by split, and by split and label in one pass."""
     rows = table(spark, sf, "relation_examples").select("id", "split", F.coalesce(F.lower(F.trim("gold_label")), F.lit("none")).alias("gold"))
-    out = rows.rollup("split", "gold").agg(n.alias("n"), F.count_distinct("id").alias("distinct_ids"))
+    out = rows.rollup("split", "gold").agg(n().alias("n"), F.count_distinct("id").alias("distinct_ids"))
     return out.select(F.coalesce("split", F.lit("all")).alias("split"), F.coalesce("gold", F.lit("all")).alias("gold"), "n", "distinct_ids")

@@ -10,7 +10,7 @@ from ..functions import prob
 from ..operators import policies
 from ..operators.decisions import LABELS, POSITIVE, decision_rows
 from ..session import table
-from .metrics import CORRECT, count, n, sql
+from .metrics import correct, count, n, sql
 from .registry import query
 
 # gates
@@ -27,7 +27,7 @@ def c1_accepted(spark: SparkSession, sf: str) -> DataFrame:
 SELECT DISTINCT a.item FROM v a JOIN v b ON a.item = b.item AND a.id < b.id WHERE a.label = 'same' AND b.label = 'same'"""))
 def c2_stable(spark: SparkSession, sf: str) -> DataFrame:
     """Examples that two valid runs both call the same."""
-    runs = decision_rows(spark, sf).where((~F.col("error")) & (F.col("label") == POSITIVE)).groupBy("item").agg(n.alias("n"))
+    runs = decision_rows(spark, sf).where((~F.col("error")) & (F.col("label") == POSITIVE)).groupBy("item").agg(n().alias("n"))
     return runs.where("n > 1").select("item")
 
 
@@ -35,7 +35,7 @@ def c2_stable(spark: SparkSession, sf: str) -> DataFrame:
 def c3_threshold_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Labels after the gate: below the threshold an answer becomes an abstention, errors stay errors."""
     gated = F.when(F.col("error"), "ERROR").when((F.col("label") == "ABSTAIN") | (F.col("score") < 0.75), "ABSTAIN").otherwise(F.col("label"))
-    return decision_rows(spark, sf).groupBy("arm", gated.alias("gated")).agg(n.alias("n"), count(CORRECT).alias("correct"))
+    return decision_rows(spark, sf).groupBy("arm", gated.alias("gated")).agg(n().alias("n"), count(correct()).alias("correct"))
 
 
 @query(sql("""SELECT id, grp, split FROM d WHERE split = 'calibration' AND grp NOT IN (SELECT grp FROM d WHERE split = 'evaluation' UNION SELECT grp FROM d WHERE error)"""))
@@ -66,7 +66,7 @@ SELECT a, b, n, labels > 1 AS conflicting FROM k WHERE n > 1""")
 def c7_conflicting_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs judged by several rows, and whether their labels conflict."""
     p = table(spark, sf, "identity_pairs").where("entity_1 is not null and entity_2 is not null").select("id", F.least("entity_1", "entity_2").alias("a"), F.greatest("entity_1", "entity_2").alias("b"), "gold_label").distinct()
-    return p.groupBy("a", "b").agg(n.alias("n"), F.count_distinct("gold_label").alias("labels")).where("n > 1").select("a", "b", "n", (F.col("labels") > 1).alias("conflicting"))
+    return p.groupBy("a", "b").agg(n().alias("n"), F.count_distinct("gold_label").alias("labels")).where("n > 1").select("a", "b", "n", (F.col("labels") > 1).alias("conflicting"))
 
 
 @query("""
@@ -84,9 +84,9 @@ SELECT arm, count(*) AS accepted, count(*) FILTER (WHERE ok) AS correct, round(m
 def f3_matched_top_k(spark: SparkSession, sf: str) -> DataFrame:
     """All arms at equal volume: the k best edges of each, k being the least number that an arm accepts."""
     rows = decision_rows(spark, sf).where((F.col("label") == POSITIVE) & F.col("score").isNotNull() & F.col("gold").isNotNull())
-    ranked = rows.select("arm", "score", CORRECT.alias("ok"), F.row_number().over(W.partitionBy("arm").orderBy(F.desc("score"), "id")).alias("k"))
-    least = rows.groupBy("arm").agg(n.alias("c")).agg(F.min("c").alias("most"))
-    return ranked.join(F.broadcast(least), F.col("k") <= F.col("most")).groupBy("arm").agg(n.alias("accepted"), count(F.col("ok")).alias("correct"), F.round(F.min("score"), 6).alias("cut"))  # one row is broadcast
+    ranked = rows.select("arm", "score", correct().alias("ok"), F.row_number().over(W.partitionBy("arm").orderBy(F.desc("score"), "id")).alias("k"))
+    least = rows.groupBy("arm").agg(n().alias("c")).agg(F.min("c").alias("most"))
+    return ranked.join(F.broadcast(least), F.col("k") <= F.col("most")).groupBy("arm").agg(n().alias("accepted"), count(F.col("ok")).alias("correct"), F.round(F.min("score"), 6).alias("cut"))  # one row is broadcast
 
 
 @query(sql("""
@@ -157,7 +157,7 @@ def d2_joint_errors(spark: SparkSession, sf: str) -> DataFrame:
     b = first.toDF("arm_2", "item", "w2", "label2")
     p = first.toDF("arm_1", "item", "w1", "label1").join(b, "item").where("arm_1 < arm_2")
     w1, w2 = F.col("w1"), F.col("w2")
-    return p.groupBy("arm_1", "arm_2").agg(n.alias("n"), count(w1 & w2).alias("both_wrong"), count(w1 & w2 & (F.col("label1") == F.col("label2"))).alias("agree_wrong"), count(w1).alias("wrong_1"), count(w2).alias("wrong_2"), F.round(count(w1) * count(w2).cast("double") / n, 6).alias("expected"))
+    return p.groupBy("arm_1", "arm_2").agg(n().alias("n"), count(w1 & w2).alias("both_wrong"), count(w1 & w2 & (F.col("label1") == F.col("label2"))).alias("agree_wrong"), count(w1).alias("wrong_1"), count(w2).alias("wrong_2"), F.round(count(w1) * count(w2).cast("double") / n(), 6).alias("expected"))
 
 
 @query(sql("""SELECT grp, count(DISTINCT split) AS splits FROM (SELECT DISTINCT grp, split FROM d UNION SELECT group_id, split FROM relation_examples WHERE group_id IS NOT NULL) GROUP BY grp HAVING count(DISTINCT split) > 1"""))
@@ -188,7 +188,7 @@ def d12_taint(spark: SparkSession, sf: str) -> DataFrame:
     e = rows.join(table(spark, sf, "evaluation_results").select(F.col("result_id").alias("id"), F.explode("pair").alias("x")), "id")
     bad = e.where("gold = 'different' and x is not null").select("x").distinct().withColumn("bad", F.lit(True))
     flat = e.join(bad, "x", "left").groupBy("id", "gold").agg(F.max(F.coalesce("bad", F.lit(False))).alias("tainted"))
-    return flat.agg(n.alias("edges"), count(F.col("gold") == POSITIVE).alias("correct"), count((F.col("gold") == POSITIVE) & ~F.col("tainted")).alias("clean"))
+    return flat.agg(n().alias("edges"), count(F.col("gold") == POSITIVE).alias("correct"), count((F.col("gold") == POSITIVE) & ~F.col("tainted")).alias("clean"))
 
 
 # evidence, shrinkage, fits
@@ -199,9 +199,9 @@ WITH c AS (SELECT source, sha256(text) AS h, count(*) AS n FROM documents WHERE
 SELECT owner, count(*) AS texts, CAST(sum(copies) AS BIGINT) AS copies, CAST(sum(CASE WHEN sources > 1 THEN 1 ELSE 0 END) AS BIGINT) AS shared FROM s GROUP BY owner""")
 def e14_exact_copies(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence without exact copies: each text counts once, for the first source that has it."""
-    c = table(spark, sf, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("h"), "source").agg(n.alias("n"))
-    s = c.groupBy("h").agg(F.min("source").alias("owner"), F.sum("n").alias("copies"), n.alias("sources"))
-    return s.groupBy("owner").agg(n.alias("texts"), F.sum("copies").alias("copies"), F.sum(F.when(F.col("sources") > 1, 1).otherwise(0)).alias("shared"))
+    c = table(spark, sf, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("h"), "source").agg(n().alias("n"))
+    s = c.groupBy("h").agg(F.min("source").alias("owner"), F.sum("n").alias("copies"), n().alias("sources"))
+    return s.groupBy("owner").agg(n().alias("texts"), F.sum("copies").alias("copies"), F.sum(F.when(F.col("sources") > 1, 1).otherwise(0)).alias("shared"))
 
 
 @query(sql("""
@@ -211,7 +211,7 @@ def e15_group_risk(spark: SparkSession, sf: str) -> DataFrame:
     """Risk that a group holds a wrong edge: if errors are independent, and the bounds whatever they are."""
     rows = decision_rows(spark, sf).where((F.col("label") == POSITIVE) & F.col("score").isNotNull()).withColumn("r", 1 - F.col("score"))
     g = rows.groupBy("arm", "grp").agg(F.sum(F.log(1 - F.least("r", F.lit(0.999999)))).alias("s"), F.max("r").alias("lo"), F.sum("r").alias("up"))
-    return g.groupBy("arm").agg(n.alias("groups"), F.round(F.avg(1 - F.exp("s")), 6).alias("independent"), F.round(F.avg("lo"), 6).alias("lower"), F.round(F.avg(F.least(F.lit(1.0), "up")), 6).alias("upper"))
+    return g.groupBy("arm").agg(n().alias("groups"), F.round(F.avg(1 - F.exp("s")), 6).alias("independent"), F.round(F.avg("lo"), 6).alias("lower"), F.round(F.avg(F.least(F.lit(1.0), "up")), 6).alias("upper"))
 
 
 @query(sql("""
@@ -221,7 +221,7 @@ SELECT arm, label, bin, count(*) AS n, round((count(*) FILTER (WHERE wrong) + 10
 def e16_shrunken_risk(spark: SparkSession, sf: str) -> DataFrame:
     """Error rate by label and score bin, shrunk towards the overall rate with the weight of ten rows."""
     rows = decision_rows(spark, sf).where("split = 'calibration' and gold is not null and not error and label <> 'ABSTAIN'")
-    f = rows.select("arm", "label", F.least(F.floor(F.col("score") * 4), F.lit(3)).cast("bigint").alias("bin"), (~CORRECT).alias("wrong"))
+    f = rows.select("arm", "label", F.least(F.floor(F.col("score") * 4), F.lit(3)).cast("bigint").alias("bin"), (~correct()).alias("wrong"))
     return policies.shrunken(f, ["arm", "label", "bin"], "wrong", weight=10.0)
 
 
@@ -235,10 +235,10 @@ SELECT arm, count(*) AS draws, round(quantile_cont(v, 0.025), 6) AS lo, round(qu
 def j10_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """Interval of the accuracy from a cluster bootstrap with deterministic hash weights; undefined draws are dropped."""
     rows = decision_rows(spark, sf).where("gold is not null")
-    stats = rows.groupBy("arm", "grp").agg(n.alias("n"), count(CORRECT).alias("ok"))
+    stats = rows.groupBy("arm", "grp").agg(n().alias("n"), count(correct()).alias("ok"))
     drawn = policies.poisson_draws(stats, "grp", 40).groupBy("arm", "draw").agg(F.sum(F.col("n") * F.col("k")).alias("n"), F.sum(F.col("ok") * F.col("k")).alias("ok"))
     v = drawn.where("n > 0").select("arm", (F.col("ok").cast("double") / F.col("n")).alias("v"))
-    return v.groupBy("arm").agg(n.alias("draws"), F.round(F.percentile("v", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("v", F.lit(0.975)), 6).alias("hi"))
+    return v.groupBy("arm").agg(n().alias("draws"), F.round(F.percentile("v", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("v", F.lit(0.975)), 6).alias("hi"))
 
 
 @query(sql("""
@@ -248,7 +248,7 @@ def j3_select_arms(spark: SparkSession, sf: str) -> DataFrame:
     """Order of the arms on the development split: accuracy, then Brier score, then name."""
     rows = decision_rows(spark, sf).where("split = 'development' and gold is not null")
     truth = F.when(F.col("gold") == POSITIVE, 1.0).otherwise(0.0)
-    m = rows.groupBy("arm").agg(F.avg(F.when(CORRECT, 1.0).otherwise(0.0)).alias("acc"), F.avg(F.pow(F.col("p") - truth, 2)).alias("b"))
+    m = rows.groupBy("arm").agg(F.avg(F.when(correct(), 1.0).otherwise(0.0)).alias("acc"), F.avg(F.pow(F.col("p") - truth, 2)).alias("b"))
     return m.select("arm", F.row_number().over(W.orderBy(F.desc("acc"), "b", "arm")).alias("place"))  # a row for each arm
 
 
@@ -284,8 +284,8 @@ def j9_idf(spark: SparkSession, sf: str) -> DataFrame:
     """Inverse document frequency of all words of all texts."""
     docs = table(spark, sf, "documents").where("text is not null")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    total = docs.agg(n.alias("total"))
-    return words.groupBy("word").agg(n.alias("df")).join(F.broadcast(total)).select("word", "df", F.round(F.log((F.col("total") + 1) / (F.col("df") + 1).cast("double")) + 1, 6).alias("idf"))  # one row is broadcast
+    total = docs.agg(n().alias("total"))
+    return words.groupBy("word").agg(n().alias("df")).join(F.broadcast(total)).select("word", "df", F.round(F.log((F.col("total") + 1) / (F.col("df") + 1).cast("double")) + 1, 6).alias("idf"))  # one row is broadcast
 
 
 @query("""
