@@ -45,13 +45,13 @@ def fold_table() -> Fold:
         if 0xD800 <= cp < 0xE000 or 0x3400 <= cp < 0xA000 or 0xAC00 <= cp < 0xD7A4 or cp >= 0x20000:
             continue
         ch = chr(cp)
-        own = "".join(map(chr, t.body[t.start[cp] : t.start[cp] + t.length[cp]]))
+        visual = own = "".join(map(chr, t.body[t.start[cp] : t.start[cp] + t.length[cp]]))
         if own == ch and ch.upper() in LOOKALIKES:  # a small letter whose capital looks like another: case must not matter
             own = LOOKALIKES[ch.upper()].lower()
         folded = "".join(c for c in unicodedata.normalize("NFD", own.casefold()) if not unicodedata.category(c).startswith("M"))
         # what folds to a look-alike after case folding looks like it too
         folded = "".join("".join(map(chr, t.body[t.start[ord(c)] : t.start[ord(c)] + t.length[ord(c)]])) for c in folded)
-        if folded != own:
+        if folded != visual:
             start[cp], length[cp] = base + len(extra), len(folded)
             extra.extend(map(ord, folded))
         cat = unicodedata.category(ch)
