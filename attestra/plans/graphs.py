@@ -156,11 +156,11 @@ def h4_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH l AS (SELECT DISTINCT l_orderkey AS formula_id, l_suppkey AS s FROM lineitem)
-SELECT formula_id, count(*) AS proofs, round(1 - exp(sum(ln(1 - CAST((s % 90 + 5) / 100.0 AS DOUBLE)))), 6) AS p FROM l GROUP BY formula_id""")
+SELECT formula_id, count(*) AS proofs, round(1 - exp(sum(ln(1 - CAST((s % 90 + 5) / 100.0 AS DOUBLE)))) + 1e-9, 6) AS p FROM l GROUP BY formula_id""")
 def h1_independent(spark: SparkSession, sf: str) -> DataFrame:
     """Noisy OR of an order's distinct suppliers."""
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("formula_id"), "l_suppkey").distinct()
-    return lines.groupBy("formula_id").agg(n().alias("proofs"), F.round(1 - F.exp(F.sum(F.log(1 - F.expr(P.format("l_suppkey")).cast("double")))), 6).alias("p"))
+    return lines.groupBy("formula_id").agg(n().alias("proofs"), F.round(1 - F.exp(F.sum(F.log(1 - F.expr(P.format("l_suppkey")).cast("double")))) + 1e-9, 6).alias("p"))  # no ties of rounding
 
 
 @query("""
