@@ -155,6 +155,25 @@ def test_linkage(spark):
     assert linkage.link(a.limit(0), "left_id", "record_1", b, "right_id", "record_2").count() == 0
 
 
+def test_linkage_many_authors(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    people, terms = [word() for _ in range(300)], [word() for _ in range(120)]
+    works = [(rng.sample(terms, 6), rng.sample(people, 14)) for _ in range(60)]
+    record = lambda t, a: {"title": " ".join(t), "authors": a, "venue": "Journal (Place)", "year": "2001"}
+    left, right = [], []
+    for i, (t, a) in enumerate(works):
+        left += [(4 * i, record(t, ", ".join(a)), None), (4 * i + 1, record(t, f"{a[0]} et al."), None)]
+        right += [(1000 + 4 * i, record(t, ", ".join(a)), None), (1000 + 4 * i + 1, record(t[:4], ", ".join(a)), None)]
+    a = spark.createDataFrame(left, "left_id int, record_1 map<string,string>, context string")
+    b = spark.createDataFrame(right, "right_id int, record_2 map<string,string>, context string")
+    want = {(4 * i + x, 1000 + 4 * i + y) for i in range(60) for x in (0, 1) for y in (0, 1)}
+    for hot in (linkage.HOT, 3):  # with 3, nearly all pairs of attributes are split by a third
+        monkeypatch.setattr(linkage, "HOT", hot)
+        got = {(r.left_id, r.right_id) for r in linkage.link(a, "left_id", "record_1", b, "right_id", "record_2").collect()}
+        assert got == want
+
+
 def test_shared_spans(spark):
     rng = random.Random(9)
     noise = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n))
