@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import prob
-from ..operators import policies
-from ..operators.decisions import LABELS, POSITIVE, decision_rows
+from ..operators import graph, policies
+from ..operators.decisions import DECISIONS, LABELS, POSITIVE, decision_rows
 from ..session import table
 from .metrics import correct, count, n, sql
 from .registry import query
@@ -46,6 +46,22 @@ def c5_purge_groups(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("split = 'calibration'").join(bad, "grp", "left_anti").select("id", "grp", "split")
 
 
+@query("""
+WITH RECURSIVE """ + DECISIONS + """
+, e AS (SELECT d.id, d.split, d.error, grp AS a, coalesce(r.pair[2], grp) AS b FROM d JOIN evaluation_results r ON d.id = r.result_id WHERE d.split <> 'development'),
+l AS (SELECT DISTINCT a, b FROM e UNION SELECT b, a FROM e),
+bad(x) AS (SELECT a FROM e WHERE split = 'evaluation' OR error UNION SELECT l.b FROM bad JOIN l ON bad.x = l.a)
+SELECT id, a AS grp, split FROM e WHERE split = 'calibration' AND a NOT IN (SELECT x FROM bad)""")
+def c5_purge_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibration rows of connected components (over both ends of the pairs of both splits) without an evaluation row or a failed call."""
+    ends = table(spark, sf, "evaluation_results").select(F.col("result_id").alias("id"), F.get("pair", F.lit(1)).alias("other"))
+    rows = decision_rows(spark, sf).where("split <> 'development'").join(ends, "id").select("id", "grp", "split", "error", F.coalesce("other", "grp").alias("other"))
+    roots = graph.components(rows, "grp", "other")
+    bad = rows.where("split = 'evaluation' or error").select(F.col("grp").alias("node")).distinct().join(roots, "node").select("root").distinct()
+    clean = roots.join(bad, "root", "left_anti").select(F.col("node").alias("grp"))
+    return rows.where("split = 'calibration'").join(clean, "grp", "left_semi").select("id", "grp", "split")
+
+
 @query("""
 WITH r AS (SELECT DISTINCT id, split, lower(trim(claim_id)) AS c, lower(trim(document_id)) AS doc FROM relation_examples),
 bad AS (SELECT DISTINCT a.c FROM r a JOIN r b ON a.doc = b.doc WHERE a.split = 'train' AND b.split <> 'train' AND a.doc NOT IN ('', 'n/a', 'unknown'))

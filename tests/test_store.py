@@ -124,3 +124,21 @@ def test_planner(spark):
         by[r.stage] = by.get(r.stage, 0) + r.rows
     assert 30 <= by[0] < by[1] <= 120 and summary["blockers"] == ["budget"] and summary["authorized"] is False
     assert planner.validate(config | {"arms": True, "budget": 1.5}) == ["arms", "budget"]
+
+
+def test_purge_components(spark, tmp_path):
+    """A calibration row is dropped when its component, over both ends, holds an evaluation row."""
+    import hashlib
+
+    from attestra.plans import registry
+
+    split = lambda e: int(hashlib.sha256(e.encode()).hexdigest()[:8], 16) % 10
+    names = [f"e{i}" for i in range(200)]
+    cal, held = [e for e in names if 6 <= split(e) < 8], [e for e in names if split(e) >= 8]
+    pairs = [(cal[0], "shared"), (held[0], "shared"), (cal[1], "x"), (cal[2], "x"), (cal[2], held[1]), (cal[3], "alone"), (cal[4], None), (held[1], "y")]
+    kind = "result_id bigint, example_id string, pair array<string>, backend_name string, backend_version string, decision_primitive string, distribution map<string,double>, confidence double, gold_label string, predicted_label string, latency_ms double, tokens_used struct<input:bigint,output:bigint>, raw_error string, execution_mode string, recorded_at timestamp"
+    rows = [(i, "x", list(p), "a", "1", "t", {"same": 1.0}, 0.9, "same", "same", 1.0, (1, 1), None, "m", None) for i, p in enumerate(pairs)]
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/evaluation_results.parquet")
+    got = {r.id for r in registry.queries()["c5_purge_components"](spark, str(tmp_path)).collect()}
+    assert got == {5, 6}
+    assert {r.id for r in registry.queries()["c5_purge_groups"](spark, str(tmp_path)).collect()} - got == {0, 2, 3, 4}  # the shortcut
