@@ -24,7 +24,7 @@ GAP, ALPHA, DIGIT, IDEO = 0, 1, 2, 3
 
 def unmarked(text: Column) -> Column:
     """Text with tags and character entities as blanks."""
-    return F.regexp_replace(text, r"<[^<>]{0,200}>|&#?[A-Za-z0-9]{1,10};", " ")
+    return F.regexp_replace(text, r"<[/!?]?[A-Za-z][^<>]*>|&#?[A-Za-z0-9]{1,10};", " ")
 
 
 class Fold(NamedTuple):
