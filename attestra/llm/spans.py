@@ -3,12 +3,13 @@
 A span of `length` characters is a window. Every window is represented by its anchor, the smallest hash among the
 `length // 2`-grams inside it, so equal windows have equal anchors and neighbouring windows mostly share theirs.
 
-1. Each task builds a count-min sketch of its anchors (counters of two bits, saturating); sketches merge by segment.
-   The merged sketch never counts too low. Its width follows the number of anchors up to `MAX_CELLS`, so what is
-   broadcast is bounded; beyond that it lets more windows through and still loses none.
-2. A second pass hashes only the windows whose anchor is estimated to occur more than once, and these are grouped
-   exactly, by anchor and window hash (128 bits together). Groups of the same set of records count once before pairs
-   are formed, so a long shared passage gives each pair of its records once.
+1. Every task sketches its own anchors, and the sketches are merged: a count-min sketch of one row whose width follows the
+   number of anchors (CELLS cells to each), so that few cells are shared at any size of the corpus. The merged sketch is a
+   table partitioned by cell. It is never broadcast, and it never counts too low.
+2. A second pass hashes only the windows whose cell is estimated to occur in more than one text (the texts and their cells
+   meet in a join; texts without such a cell aren't read again), and these windows are grouped exactly, by anchor and window
+   hash (128 bits together). Groups of the same set of records count once before pairs are formed, so a long shared
+   passage gives each pair of its records once.
 
 Exact copies are found first, by digest; one of each is searched, and the others follow it.
 """
@@ -23,15 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import spread, staged
+from ..session import spread, staged, unstage
 from .bpe import _mixed
 from .forms import code_points
 
 LENGTH = 200
-DEPTH = 3
-MAX_CELLS = 1 << 25  # the merged sketch is 12 MB at most, a task holds 200 MB while it builds one
-FAN = 256  # how many tasks' segments meet in the first merge
-SEGMENT = 1 << 15  # bytes
+CELLS = 16  # cells of the sketch to an anchor: one unrepeated anchor in 16 passes at most
+MOST = 48  # bits of a cell, which leave 15 for the row within a batch
 SLICE = 1 << 20  # code points hashed at once
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -71,59 +70,55 @@ def windows(points: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.nda
     return at, low[at], _mixed((sums[at + length] - sums[at]) * down[at] ^ BASE)
 
 
-def _slices(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each slice: keys, starts within the text, rows changed at, anchors, hashes of all windows."""
-    text = batch.column(1)
+def _slices(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each slice: rows in the batch, starts within the text, anchors, hashes of all windows."""
+    text = batch.column(batch.schema.get_field_index("text"))
     points, bounds = code_points(text.fill_null("") if text.null_count else text)
-    keys = np.asarray(batch.column(0))
     lo, n = 0, len(bounds) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SLICE, side="right")) - 1)
         own = bounds[lo : hi + 1] - bounds[lo]
         at, anchor, whole = windows(points[bounds[lo] : bounds[hi]], own, length)
         row = np.searchsorted(own, at, side="right") - 1
-        yield keys[lo:hi][row], at - own[row], row, anchor, whole
+        yield lo + row, at - own[row], anchor, whole
         lo = hi
 
 
-def _cells(anchor: np.ndarray, depth: int, cells: int) -> np.ndarray:
-    return (_mixed(anchor + np.uint64(depth * int(BASE) % (1 << 64))) & np.uint64(cells - 1)).astype(np.int64)
+def _sketched(texts: DataFrame, bits: int, length: int) -> DataFrame:
+    """cell, key: the cells (of 2**bits) of the anchors of each text, each once for a text."""
 
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch.column(batch.schema.get_field_index("key")))
+            for row, _, anchor, _ in _slices(batch, length):
+                new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])) if len(row) else row
+                own = np.unique((row[new] << MOST) | _cells(anchor[new], bits))
+                yield pa.RecordBatch.from_arrays([pa.array(own & ((1 << MOST) - 1)), pa.array(keys[own >> MOST].astype(np.int64))], names=["cell", "key"])
 
-def sketched(texts: DataFrame, cells: int, length: int = LENGTH) -> list[tuple[np.ndarray, ...]]:
-    """The merged count-min sketch: for each of DEPTH hash functions, which cells were hit more than once."""
+    return texts.mapInArrow(build, "cell bigint, key bigint")
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros((DEPTH, cells), dtype=bool), np.zeros((DEPTH, cells), dtype=bool)
+
+def _cells(anchor: np.ndarray, bits: int) -> np.ndarray:
+    return (_mixed(anchor + BASE) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _suspect(texts: DataFrame, length: int) -> DataFrame:
+    """key, anchor, whole, pos of the windows (of texts with `cells`) whose cell is one of those of their text."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, row, anchor, _ in _slices(batch, length):
-                if not len(anchor):
-                    continue
-                first = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
-                for d in range(DEPTH):
-                    cell, count = np.unique(_cells(anchor[first], d, cells), return_counts=True)
-                    twice[d, cell[(count > 1) | once[d, cell]]] = True
-                    once[d, cell] = True
-        for d in range(DEPTH):
-            one, two = np.packbits(once[d]), np.packbits(twice[d])
-            for s in range(0, len(one), SEGMENT):
-                if one[s : s + SEGMENT].any():
-                    yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "s": pa.array([s], pa.int64()), "once": [one[s : s + SEGMENT].tobytes()], "twice": [two[s : s + SEGMENT].tobytes()]})
-
-    def merge(group: pa.Table) -> pa.Table:
-        once = twice = None
-        for o, t in zip(group.column("once"), group.column("twice"), strict=True):
-            o, t = np.frombuffer(o.as_py(), dtype=np.uint8), np.frombuffer(t.as_py(), dtype=np.uint8)
-            once, twice = (o, t) if once is None else (once | o, twice | t | (once & o))
-        return pa.table({"d": group.column("d")[:1], "s": group.column("s")[:1], "once": [once.tobytes()], "twice": [twice.tobytes()]})
-
-    kind = "d int, s bigint, once binary, twice binary"
-    parts = texts.mapInArrow(build, kind).withColumn("part", F.spark_partition_id() % FAN)
-    merged = parts.groupBy("d", "s", "part").applyInArrow(merge, kind).groupBy("d", "s").applyInArrow(merge, kind)
-    out = [np.zeros(cells // 8, dtype=np.uint8) for _ in range(DEPTH)]
-    for r in merged.toLocalIterator():  # at most DEPTH * cells / 8 bytes
-        out[r["d"]][r["s"] : r["s"] + len(r["twice"])] = np.frombuffer(bytes(r["twice"]), dtype=np.uint8)
-    return out
+            get = lambda name: batch.column(batch.schema.get_field_index(name))
+            keys, cells, bits = np.asarray(get("key")), get("cells"), get("bits")[0].as_py() if batch.num_rows else 1
+            sizes = np.diff(np.asarray(cells.offsets))
+            wanted = (np.repeat(np.arange(len(keys)), sizes) << MOST) | np.asarray(cells.flatten())
+            for row, pos, anchor, whole in _slices(batch, length):
+                new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]) if len(row) else np.zeros(0, bool)
+                run = np.flatnonzero(new)
+                kept = np.isin((row[run] << MOST) | _cells(anchor[run], bits), wanted)
+                keep = np.flatnonzero(kept[np.cumsum(new) - 1]) if len(run) else run
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64)), pa.array(whole[keep].view(np.int64)), pa.array(keys[row[keep]].astype(np.int64)), pa.array(pos[keep].astype(np.int32))], names=["anchor", "whole", "key", "pos"])
+
+    return texts.mapInArrow(find, "anchor bigint, whole bigint, key bigint, pos int")
 
 
 class Shared:
@@ -134,7 +129,7 @@ class Shared:
     """
 
     def __init__(self, texts: DataFrame, key: str, text: str, length: int = LENGTH):
-        spark, self.length = texts.sparkSession, length
+        self.length = length
         rows = spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text")))
         digest = F.unhex(F.sha2(F.col("text"), 256))
         self.sizes = staged(rows.select("key", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"), F.when(F.length("text") >= length, digest).alias("digest")), "digests")
@@ -144,25 +139,18 @@ class Shared:
         others = self.copies.where("key <> rep").select("key")
         # the planner knows the size of the staged list: it is broadcast if small, else joined by a shuffle
         single = rows.where(F.length("text") >= length).join(others, "key", "left_anti")
+        # about four anchors to `length` characters
         anchors = (self.sizes.where("digest is not null").agg(F.sum("n")).first()[0] or 0) * 4 // length
-        cells = min(MAX_CELLS, max(1 << 16, 1 << (4 * anchors).bit_length()))
-        sketch = spark.sparkContext.broadcast(sketched(single, cells, length))
-
-        def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            twice = sketch.value
-            for batch in batches:
-                for key_, pos, _, anchor, whole in _slices(batch, length):
-                    keep = np.arange(len(anchor))
-                    for d in range(DEPTH):
-                        cell = _cells(anchor[keep], d, cells)
-                        keep = keep[twice[d][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1 > 0]
-                    if len(keep):
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64)), pa.array(whole[keep].view(np.int64)), pa.array(key_[keep].astype(np.int64)), pa.array(pos[keep].astype(np.int32))], names=["anchor", "whole", "key", "pos"])
-
-        found = staged(single.mapInArrow(repeated, "anchor bigint, whole bigint, key bigint, pos int"), "windows")
+        bits = min(MOST, max(16, (CELLS * anchors).bit_length()))
+        sketch = staged(_sketched(single, bits, length), "sketch")
+        twice = sketch.groupBy("cell").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("cell")
+        suspect = staged(sketch.join(twice, "cell").groupBy("key").agg(F.collect_list("cell").alias("cells")), "suspect")
+        found = staged(_suspect(single.join(suspect, "key").select("key", "text", "cells", F.lit(bits).alias("bits")), length), "windows")
         groups = found.groupBy("anchor", "whole").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("anchor", "whole")
         #: anchor, whole, key, pos: each window that stands in more than one text (of those searched)
         self.windows = staged(found.join(groups, ["anchor", "whole"]), "repeated")
+        for done in (sketch, suspect, found):
+            unstage(done)
 
     def pairs(self, first: str, second: str) -> DataFrame:
         """Each pair of keys, smaller first, whose texts share a window; copies included."""
