@@ -43,41 +43,76 @@ def bundles(records: DataFrame, record: str, keys: DataFrame, key_record: str, k
     return out.join(sizes, "bundle_id").select("record", "bundle_id", "bundle_size")
 
 
+def _reach(items: list[tuple[int, int]], most: int) -> int:
+    """Bitset of the totals up to `most` that subsets of items (size, how many) give; an item is taken whole or not."""
+    reach, mask = 1, (1 << (most + 1)) - 1
+    for s, n in items:
+        reach |= (reach << (s * n)) & mask
+    return reach
+
+
+def _subset(items: list[tuple[int, int]], total: int) -> list[tuple[int, int]]:
+    """Items that give exactly `total`, which must be reachable: the items are halved, and the total is divided between the
+    halves by their bitsets, so that no more than two bitsets a level of halving are held."""
+    if not total:
+        return []
+    if len(items) == 1:
+        return items
+    half = len(items) // 2
+    left, right = items[:half], items[half:]
+    a, b = _reach(left, total), _reach(right, total)
+    turned = int(format(b, f"0{total + 1}b")[::-1], 2)  # bit t of it: the right half gives total - t
+    both = a & turned
+    part = both.bit_length() - 1
+    del a, b, turned, both
+    return _subset(left, part) + _subset(right, total - part)
+
+
 def closest(sizes: dict[int, int], target: int) -> dict[int, int]:
     """How many of each size to take so that their total comes closest to target (the smaller of two equally close).
 
-    Each size first gives its proportional share, rounded down; the rest is a subset-sum problem over the multiplicities
-    left, solved on bitsets (multiplicities as powers of two), and read back from the last reachable total.
+    A subset-sum problem on bitsets over the multiplicities (as powers of two). Each size starts from its proportional share,
+    and only counts within 4 * w + 2 of it are tried, w being the greatest size: a nearest solution with the least
+    difference from the shares differs by no more items, as otherwise some of the added and some of the removed ones would
+    have equal totals (their sums can be ordered to stay within 2 * w of 0) and could be put back. So the bitsets don't grow
+    with the number of bundles: they have at most min(target, sum of sizes * (4 * w + 2)) + w bits.
     """
     total = sum(s * m for s, m in sizes.items())
     if total == 0 or target <= 0:
         return dict.fromkeys(sizes, 0)
-    share = min(1.0, target / total)
-    taken = {s: int(m * share) for s, m in sizes.items()}
+    if target >= total:
+        return dict(sizes)
+    top = max(s for s, m in sizes.items() if m)
+    slack = 4 * top + 2
+    taken = {s: m * target // total for s, m in sizes.items()}
+    # the shares are rounded down; whole bundles bring them within one greatest size of the target
     rest = target - sum(s * n for s, n in taken.items())
-    # more of a size than fills the rest can't be needed
+    for s in sorted(sizes, reverse=True):
+        more = min(sizes[s] - taken[s], rest // s)
+        taken[s] += more
+        rest -= s * more
+    low = {s: max(0, n - slack) for s, n in taken.items()}
+    want = target - sum(s * n for s, n in low.items())
     items = []
     for s in sorted(sizes, reverse=True):
-        left, power = min(sizes[s] - taken[s], rest // s + 1), 1
+        left, power = min(sizes[s], taken[s] + slack) - low[s], 1
+        left = min(left, want // s + 1)  # more of a size than fills the rest can't be needed
         while left > 0:
             n = min(power, left)
             items.append((s, n))
             left, power = left - n, 2 * power
-    limit = 2 * rest + 1
-    mask = (1 << (limit + 1)) - 1
-    reach = [1]
-    for s, n in items:
-        reach.append((reach[-1] | reach[-1] << (s * n)) & mask)
-    below = reach[-1] & ((1 << (rest + 1)) - 1)
-    low = below.bit_length() - 1
-    above = reach[-1] >> rest
-    high = rest + (above & -above).bit_length() - 1 if above else None
-    got = low if high is None or rest - low <= high - rest else high
-    for (s, n), before in zip(reversed(items), reversed(reach[:-1]), strict=True):
-        if not before >> got & 1:
-            taken[s] += n
-            got -= s * n
-    return taken
+    reach = _reach(items, want + top)
+    below = (reach & ((1 << (want + 1)) - 1)).bit_length() - 1
+    above = reach >> want
+    nearest = below
+    if above:
+        over = want + (above & -above).bit_length() - 1
+        nearest = below if want - below <= over - want else over
+    del reach, above
+    out = dict(low)
+    for s, n in _subset(items, nearest):
+        out[s] += n
+    return out
 
 
 def shares(sizes: dict[int, int], fractions: dict[str, float]) -> dict[str, dict[int, int]]:
