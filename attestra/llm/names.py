@@ -1,11 +1,12 @@
 """Variant spellings of names typed by people (problem 6).
 
 A mention is read as a person, organisation, protein or compound: its rare name (surname, place, stem) and what must agree
-exactly (given name, kind and field, number and letter, position and substituent; each after correction of typing
-errors against the tables below). Names are blocked by phonetic codes of their sorted tokens: the consonants in classes,
-with each single deletion, so that names one typing error apart share a block. Pairs of a block that agree in the rest
-are compared by Jaro-Winkler similarity and edit distance; accepted pairs are clustered by connected components. Spellings
-are compared once each, however many mentions have them.
+besides (given name, kind and field, number and letter, position and substituent). The parts are found by their places in
+the mention; lists serve only for short forms and for typing errors in common words. Names are blocked by phonetic codes of
+their sorted tokens: the consonants in classes, with each single deletion, so that names one typing error apart share a
+block. Pairs of a block that agree in the rest are compared by Jaro-Winkler similarity and edit distance; accepted pairs
+are clustered by connected components. Short forms (initials of given names, abbreviated fields, acronyms) join the one
+group they fit, and stay by themselves where several fit. Spellings are compared once each, however many mentions have them.
 """
 
 from __future__ import annotations
@@ -13,31 +14,33 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import staged
+from . import strings
 from .forms import canonical_array
 from .grouping import boruvka
 from .words import folded_array
 
 # Given names with their short forms.
 NICKNAMES = """
-alexander alex sasha; andrew andy drew; anthony tony; barbara barb babs; benjamin ben benny; catherine cathy; cedric;
+alexander alex sasha; andrew andy drew; anthony tony; barbara barb babs; benjamin ben benny; catherine cathy;
 charles charlie chuck; christopher chris kit; daniel dan danny; david dave; deborah debbie deb; donald don;
-dorothy dot dottie; edward ned ed eddie; elizabeth liz beth betty eliza; fiona; frances fran; frederick fred freddy;
-george; gerda; gregory greg; harold harry hal; hector; helena lena; henry hank; ingrid; jacqueline jackie; james jim
-jimmy; jennifer jen jenny; john jack; jonathan jon; joseph joe joey; katherine kate kathy katie; kenneth ken;
-lawrence larry; leonard len lenny; lillian lily lil; margaret peggy meg maggie; martin marty; matthew matt; michael mike
-mick; nicholas nick; oscar; pamela pam; patricia trish pat patty; peter pete; philip phil pip; quentin; ramona mona;
-raymond ray; rebecca becky becca; richard dick rick; robert bob rob bobby; ronald ron; samuel sam sammy; stephen steve;
-susan sue susie; theodore ted teddy theo; thomas tom tommy; timothy tim; ulrich uli; victoria vicky vic; walter walt;
-wilma; william bill will billy; xavier; yvonne; zoltan;
-анна аня; алексей лёша; борис боря; виктор витя; глеб; дмитрий дима; екатерина катя; елена лена; захар; иван ваня; игорь;
-ирина ира; мария маша; михаил миша; наталья наташа; николай коля; нина; олег; ольга оля; павел паша; пётр петя; роман рома;
-сергей серёжа; юлия юля; юрий юра
+dorothy dot dottie; edward ned ed eddie; elizabeth liz beth betty eliza; frances fran; frederick fred freddy;
+gregory greg; harold harry hal; helena lena; henry hank; jacqueline jackie; james jim jimmy; jennifer jen jenny;
+john jack; jonathan jon; joseph joe joey; katherine kate kathy katie; kenneth ken; lawrence larry; leonard len lenny;
+lillian lily lil; margaret peggy meg maggie; martin marty; matthew matt; michael mike mick; nicholas nick;
+pamela pam; patricia trish pat patty; peter pete; philip phil pip; ramona mona; raymond ray; rebecca becky becca;
+richard dick rick; robert bob rob bobby; ronald ron; samuel sam sammy; stephen steve; susan sue susie;
+theodore ted teddy theo; thomas tom tommy; timothy tim; ulrich uli; victoria vicky vic; walter walt;
+william bill will billy; анна аня; алексей лёша; борис боря; виктор витя; дмитрий дима; екатерина катя; елена лена;
+иван ваня; ирина ира; мария маша; михаил миша; наталья наташа; николай коля; ольга оля; павел паша; пётр петя;
+роман рома; сергей серёжа; юлия юля; юрий юра
 """
 TITLES = "dr prof professor mr mrs ms sir phd md jr sr"
 PARTICLES = "von van der den de del della di da du la le ter ten zu zum zur"
@@ -92,32 +95,6 @@ def edits(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def jaro_winkler(a: str, b: str) -> float:
-    """Jaro-Winkler similarity with a prefix of up to 4 and weight 0.1; 0 where nothing matches, 1 for equal strings."""
-    if a == b:
-        return 1.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken, hits = [False] * len(b), []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == x:
-                taken[j] = True
-                hits.append(x)
-                break
-    if not hits:
-        return 0.0
-    other = [y for y, t in zip(b, taken, strict=True) if t]
-    swapped = sum(x != y for x, y in zip(hits, other, strict=True)) / 2
-    m = len(hits)
-    jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
-    prefix = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + prefix * 0.1 * (1 - jaro)
-
-
 @lru_cache(maxsize=65536)
 def _corrected(token: str, kind: str) -> str | None:
     """The full form of the list entry that a token stands for, typing errors allowed; None if none is near."""
@@ -190,6 +167,11 @@ def parse(text: str, folded: str) -> tuple[str, str, str, str] | None:
                 stem = "".join([cut[1], *(t for j, t in enumerate(tokens) if j != i and len(t) > 1)])
                 if len(stem) >= 5 and _corrected(token, "given") is None:
                     return "compound", stem, f"{letters[0]} {cut[0]}", ""
+        # an unknown substituent stands after the letter, or first where the letter is last
+        long = [t for t in tokens if len(t) > 1]
+        if len(long) == 2 and len(letters) == 1 and re.search(rf"(?i)(?<!\w){letters[0]}-|\({letters[0]}\)", text):
+            sub = long[0] if tokens[-1] == letters[0] else tokens[tokens.index(letters[0]) + 1]
+            return "compound", long[1 - long.index(sub)], f"{letters[0]} {sub}", ""
     # proteins: a stem, a number and a Greek letter
     numbers = [t for t in tokens if t.isdigit()]
     greek = [(i, g) for i, t in enumerate(tokens) if (g := _corrected(t, "greek"))]
@@ -198,19 +180,21 @@ def parse(text: str, folded: str) -> tuple[str, str, str, str] | None:
         if stem:
             return "protein", stem, f"{' '.join(numbers)} {greek[0][1]}", ""
     words = [t for t in tokens if t not in LEGAL.split()] or tokens
-    # organisations: a place, a kind and a field, or their initials with the place in parentheses
+    # organisations: a place, a kind and fields, or their initials with the place in parentheses
     initials = re.fullmatch(r"\s*(\w{3,6})\s*\(([^()]+)\)\s*", text)
     if initials and len(tokens) >= 2 and tokens[0] and tokens[0][0] == tokens[1][0] and len(tokens[0]) <= 6:
-        return "org", " ".join(sorted(tokens[1:])), tokens[0][1:2] + "".join(sorted(tokens[0][2:])), ""
+        return "acronym", " ".join(sorted(tokens[1:])), tokens[0][1], "".join(sorted(tokens[0][2:]))
+    words = [t for t in words if t not in LINKS.split()] or words
     body = [(i, b) for i, t in enumerate(words) if (b := _lists()["body"].get(t))]
-    body = body or [(i, b) for i, t in enumerate(words) if t not in FIELDS.split() and (b := _corrected(t, "body"))]
-    if body:
-        rest = [t for i, t in enumerate(words) if i != body[0][0] and t not in LINKS.split()]
-        place = max(rest, key=lambda t: (_field(t) is None, len(t)), default="")
-        if place:
-            fields = list(rest)
-            fields.remove(place)
-            return "org", place, body[0][1][0] + "".join(sorted((_field(t) or t)[0] for t in fields)), ""
+    body = body or [(i, b) for i, t in enumerate(words) if (b := _corrected(t, "body"))]
+    if body and len(words) > 1:
+        at, kind = body[0]
+        rest = [t for i, t in enumerate(words) if i != at]
+        # the place stands behind a comma or last where the kind comes first, and else first
+        place = rest.pop(-1 if at == 0 else 0)
+        # fields cut to a few letters, each with its point
+        cut = bool(rest) and len(re.findall(r"\w{2,5}\.", text)) > len(rest)
+        return "cut" if cut else "org", place, kind, " ".join(sorted(rest))
     # persons: surname, given name or initial, middle initials
     words = [t for t in words if t not in TITLES.split()] or words
     full = [t for t in words if len(t) > 1 and t not in PARTICLES.split()]
@@ -222,33 +206,17 @@ def parse(text: str, folded: str) -> tuple[str, str, str, str] | None:
         name = " ".join(sorted(t for i, t in enumerate(full) if i != given))
         return "person", name, _corrected(full[given], "given"), "".join(single[:1])
     if full and single:
-        return "person", " ".join(sorted(full)), f"{single[0]}.", "".join(single[1:2])
+        if len(full) == 1:
+            return "person", full[0], f"{single[0]}.", "".join(single[1:2])
+        behind = re.fullmatch(r"[^,]*,((?:\s*\w\b\.?)+)\s*", text)  # nothing but initials behind a comma
+        if len(full) > 2 or behind or re.search(r"\w\w[-\u2010\u2011]\w\w", text):
+            return "person", " ".join(sorted(full)), f"{single[0]}.", "".join(single[1:2])
+    if len(full) in (2, 3) and not any(t.isdigit() for t in tokens):
+        # a given name that is in no list, before or behind a surname of one word or two
+        return "pair", " ".join(sorted(full)), "", "".join(single[:1])
     return "other", " ".join(sorted(words)), "", ""
 
 
-# Words that name fields of study, as corrections for typing errors in them.
-FIELDS = """
-acoustics applied biology botany cell chemistry clinical cryogenic data design dynamics ecology enzyme genetics graph
-hydrology imaging informatics marine mathematics mechanics medicine molecular neural optics physics physiology plant polar
-provenance rheology semantics sleep soil urban viral
-"""
-
-
-@lru_cache(maxsize=65536)
-def _field(token: str) -> str | None:
-    """The field word that a token stands for, by spelling, typing error or abbreviation."""
-    known = FIELDS.split()
-    if token in known:
-        return token
-    if len(token) >= 3 and len(token) <= 5:
-        starts = [k for k in known if k.startswith(token)]
-        if starts:
-            return starts[0]
-    most = 1 if len(token) < 6 else 2
-    near = [k for k in known if edits(token, k, most) <= most]
-    return near[0] if near else None
-
-
 _PARSED = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "name", "rest", "middle")] + [T.StructField("codes", T.ArrayType(T.StringType()))])
 
 
@@ -264,8 +232,55 @@ def _parsed(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.IntegerType())
 def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Edit distance up to 3 (4: more) of names whose Jaro-Winkler similarity is at least 0.85, else 9."""
-    return pa.array([edits(x, y, 3) if jaro_winkler(x, y) >= 0.85 else 9 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], type=pa.int32())
+    """Edit distance of names whose Jaro-Winkler similarity is at least 0.85, else 9."""
+    (x, n), (y, m) = strings.matrix(a), strings.matrix(b)
+    out = np.full(len(n), 9, dtype=np.int32)
+    at = np.flatnonzero(np.bitwise_count(strings.letters(x) ^ strings.letters(y)) <= 4)  # two errors change four letters at most
+    at = at[strings.jaro_winkler(x[at], n[at], y[at], m[at]) >= 0.85]
+    out[at] = strings.edits(x[at], n[at], y[at], m[at])
+    return pa.array(out)
+
+
+def fields_agree(a: str, b: str) -> bool:
+    """Whether two lists of fields name the same ones, a typing error in each allowed."""
+    left = b.split()
+    for w in a.split():
+        most = 1 if len(w) < 6 else 2
+        near = min(((edits(w, x, most), x) for x in left), default=None)
+        if near is None or near[0] > most:
+            return False
+        left.remove(near[1])
+    return not left
+
+
+def short_fits(kind: str, rest: str, middle: str, full_rest: str, full_middle: str) -> bool:
+    """Whether a cut form or an acronym (its kind, rest and middle) stands for a body of that kind and those fields."""
+    if kind == "acronym":
+        return full_rest[:1] == rest and "".join(sorted(w[0] for w in full_middle.split())) == middle
+    left = full_middle.split()
+    for w in middle.split():
+        fit = next((x for x in left if x.startswith(w)), None) or next((x for x in left if edits(x[: len(w)], w, 1) <= 1), None)
+        if fit is None:
+            return False
+        left.remove(fit)
+    return rest == full_rest and not left
+
+
+def _each_once(function, *columns: pa.Array) -> pa.Array:
+    """A function of strings over columns, called once for each distinct combination."""
+    known: dict[tuple, bool] = {}
+    rows = zip(*[c.to_pylist() for c in columns], strict=True)
+    return pa.array([known[k] if k in known else known.setdefault(k, function(*k)) for k in rows], type=pa.bool_())
+
+
+@F.arrow_udf(T.BooleanType())
+def _agree(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _each_once(fields_agree, a, b)
+
+
+@F.arrow_udf(T.BooleanType())
+def _fits(kind: pa.Array, rest: pa.Array, middle: pa.Array, full_rest: pa.Array, full_middle: pa.Array) -> pa.Array:
+    return _each_once(short_fits, kind, rest, middle, full_rest, full_middle)
 
 
 def spelled_greek(text: Column) -> Column:
@@ -280,38 +295,79 @@ def near_enough(distance: Column, a: str, b: str) -> Column:
     return (distance <= 1) | ((distance == 2) & (F.least(F.length(a), F.length(b)) >= 10))
 
 
+@F.arrow_udf(T.BooleanType())
+def _both_near(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Of two names of two or three words each: whether all words are near, with one error in a word of five letters or more and
+    two in one of ten."""
+    out = np.ones(len(a), dtype=bool)
+    for i in range(3):
+        (x, n), (y, m) = [strings.matrix(pc.list_element(pc.split_pattern(pc.binary_join_element_wise(c, "  ", ""), " "), i)) for c in (a, b)]
+        d = strings.edits(x, n, y, m)
+        out &= (d == 0) | ((d == 1) & (np.maximum(n, m) >= 5)) | ((d == 2) & (np.minimum(n, m) >= 10))
+    return pa.array(out)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _codes(names: pa.Array) -> pa.Array:
+    return pa.array([block_codes(n) for n in names.to_pylist()], type=pa.list_(pa.string()))
+
+
 def linked(mentions: DataFrame, key: str, text: str) -> DataFrame:
     """key, group_id for each distinct key with a non-blank mention; equal group ids mean one entity.
 
     A person's mention with only an initial joins the one group of that surname and initial; where several persons fit, the
-    middle initial decides, and where it doesn't, mentions with equal initials form a group of their own. Mentions that are
-    read as none of the four kinds link where their words are the same in any order, up to one typing error. Null and
+    middle initial decides, and where it doesn't, mentions with equal initials form a group of their own. A body's cut form or
+    acronym joins the one body of that place which it fits. Two or three words without a known given name are a person
+    whose given name may be any of them. Other mentions link where their words are the same in any order, up to one typing error. Null and
     blank mentions have no row; a key delivered twice counts once.
     """
     rows = mentions.select(F.col(key).alias("key"), spelled_greek(F.col(text)).alias("text")).where("key is not null and text is not null").distinct()
     forms = rows.groupBy("text").agg(F.count(F.lit(1)).alias("n")).repartition(F.col("text"))
     read = forms.select("text", _parsed("text").alias("p")).where("p is not null").select("text", "p.*")
-    read = staged(read.withColumn("node", F.concat_ws("|", "kind", "rest", F.when(F.col("rest").endswith("."), F.col("middle")).otherwise(""), "name")), "read")
-    nodes = staged(read.groupBy("node", "kind", "rest", "name").agg(F.first("codes").alias("codes")), "nodes")
-    coded = nodes.select("node", "kind", "rest", "name", F.explode("codes").alias("code"))
-    mine = F.substring_index("node", "|", 3)
-    left = coded.select(mine.alias("exact"), "code", F.col("node").alias("a"), F.col("name").alias("an"))
-    right = coded.select(mine.alias("exact"), "code", F.col("node").alias("b"), F.col("name").alias("bn"))
-    pairs = left.join(right, ["exact", "code"]).where("a < b").select("a", "b", "an", "bn").distinct()
-    links = pairs.where(near_enough(_distance("an", "bn"), "an", "bn")).select("a", "b")
+    read = staged(read.withColumn("node", F.concat_ws("|", "kind", "rest", F.when(F.col("rest").endswith(".") | F.col("kind").isin("org", "cut", "acronym"), F.col("middle")).otherwise(""), "name")), "read")
+    nodes = staged(read.groupBy("node", "kind", "rest", "name", F.when(F.col("kind").isin("org", "cut"), F.col("middle")).otherwise("").alias("fields")).agg(F.first("codes").alias("codes"), F.max("middle").alias("middle")), "nodes")
+    coded = nodes.withColumn("code", F.explode("codes")).drop("codes")
+    left = coded.select("kind", "rest", "code", F.col("node").alias("a"), F.col("name").alias("an"), F.col("fields").alias("af"))
+    right = coded.select("kind", "rest", "code", F.col("node").alias("b"), F.col("name").alias("bn"), F.col("fields").alias("bf"))
+    pairs = left.join(right, ["kind", "rest", "code"]).where("a < b").select("a", "b", "an", "bn", "af", "bf", (F.col("kind") == "pair").alias("two")).distinct()
+    # of words without a known given name, each must be near by itself
+    one, two = pairs.where("not two"), pairs.where("two")
+    near = one.where(near_enough(_distance("an", "bn"), "an", "bn")).where(_agree("af", "bf")).unionByName(two.where(_both_near("an", "bn")))
+    links = near.select("a", "b")
     groups = boruvka(links, "a", "b").select("node", "root")
     full = staged(nodes.select("node").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "named")
+
+    def attached(fits: DataFrame, full: DataFrame) -> DataFrame:
+        """full with the short nodes s moved to the one root they fit; agree marks fits that decide where several do."""
+        marked = fits.join(full, "node")
+        chosen = marked.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(F.col("agree"), F.col("root"))).alias("mlo"), F.max(F.when(F.col("agree"), F.col("root"))).alias("mhi"))
+        target = F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("mlo") == F.col("mhi"), F.col("mlo"))
+        chosen = chosen.select(F.col("s").alias("_s"), target.alias("_to")).where("_to is not null")
+        old = full.join(chosen.select("_s"), F.col("node") == F.col("_s"), "left_semi").select(F.col("root").alias("_root"), F.col("node").alias("_node"))
+        moved = old.join(chosen, F.col("_node") == F.col("_s")).groupBy("_root").agg(F.min("_to").alias("_lo"), F.max("_to").alias("_hi")).where("_lo = _hi")
+        # the short forms of one group move together
+        return full.join(moved, F.col("root") == F.col("_root"), "left").select("node", F.coalesce("_lo", "root").alias("root"))
+
     # initials: which groups of full given names fit
-    persons = read.where("kind = 'person'")
-    whole = persons.where("not endswith(rest, '.')").select("node", F.explode("codes").alias("code"), "name", F.substring("rest", 1, 1).alias("initial"), F.col("middle").alias("m")).distinct()
-    short = persons.where("endswith(rest, '.')").select(F.col("node").alias("s"), F.explode("codes").alias("code"), F.col("name").alias("sn"), F.substring("rest", 1, 1).alias("initial"), F.col("middle").alias("sm")).distinct()
+    persons = coded.where("kind = 'person'")
+    whole = persons.where("not endswith(rest, '.')").select("node", "code", "name", F.substring("rest", 1, 1).alias("initial"), F.col("middle").alias("m"))
+    twos = nodes.where("kind = 'pair'").withColumn("w", F.split("name", " "))
+    for i in range(3):
+        rest = F.array_join(F.concat(F.slice("w", 1, i), F.slice("w", i + 2, 2)), " ")
+        two = twos.where(F.size("w") > i).select("node", rest.alias("name"), F.substring(F.get("w", F.lit(i)), 1, 1).alias("initial"), F.col("middle").alias("m"))
+        whole = whole.unionByName(two.select("node", F.explode(_codes("name")).alias("code"), "name", "initial", "m"))
+    short = persons.where("endswith(rest, '.')").select(F.col("node").alias("s"), "code", F.col("name").alias("sn"), F.substring("rest", 1, 1).alias("initial"), F.col("middle").alias("sm"))
     fits = short.join(whole, ["initial", "code"]).select("s", "sn", "sm", "node", "name", "m").distinct()
-    fits = fits.where(near_enough(_distance("sn", "name"), "sn", "name")).join(full, "node")
-    agree = (F.col("sm") != "") & (F.col("sm") == F.col("m"))
-    chosen = fits.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(agree, F.col("root"))).alias("mlo"), F.max(F.when(agree, F.col("root"))).alias("mhi"))
-    target = F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("mlo") == F.col("mhi"), F.col("mlo"))
-    chosen = chosen.select("s", target.alias("to")).where("to is not null")
-    final = full.join(chosen, full["node"] == chosen["s"], "left").select("node", F.coalesce("to", "root").alias("root"))
+    fits = fits.where(near_enough(_distance("sn", "name"), "sn", "name")).select("s", "node", ((F.col("sm") != "") & (F.col("sm") == F.col("m"))).alias("agree"))
+    full = staged(attached(fits, full), "named")
+    # cut forms join full ones, acronyms both
+    for kind in ("cut", "acronym"):
+        bodies = coded.where("kind = 'org'" if kind == "cut" else "kind in ('org', 'cut')").select("node", "code", "name", F.col("rest").alias("full_rest"), "fields")
+        short = coded.where(F.col("kind") == kind).select(F.col("node").alias("s"), "code", F.col("name").alias("sn"), "kind", "rest", "middle")
+        fits = short.join(bodies, "code").drop("code").distinct()
+        fits = fits.where(near_enough(_distance("sn", "name"), "sn", "name") & _fits("kind", "rest", "middle", "full_rest", "fields"))
+        full = staged(attached(fits.select("s", "node", F.lit(False).alias("agree")), full), "named")
+    final = full
     placed = read.select("text", "node").join(final, "node").select("text", "root")
     ids = staged(rows.join(placed, "text").select("key", "root").distinct(), "mentions")
     least = ids.groupBy("root").agg(F.min("key").alias("group_id"))
