@@ -214,7 +214,8 @@ def near_same(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         asked = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in group.column("asked")]
         of = {s: np.unique(np.concatenate([np.zeros(0, "<u4"), *[x for x, y in zip(asked, sides, strict=True) if y == s]])) for s in (TRAIN, HELD)}
         met = np.intersect1d(of[TRAIN], of[HELD], assume_unique=True)
-        bits = [np.packbits(np.isin(x, met)).tobytes() for x in asked]
+        met = np.append(met, np.uint32(0))  # a last place for n-grams beyond all
+        bits = [np.packbits((at < len(met) - 1) & (met[at] == x)).tobytes() for x in asked for at in [np.searchsorted(met[:-1], x)]]
         return pa.table([group.column("block"), group.column("side"), group.column("part"), pa.array(bits, pa.binary())], names=["block", "side", "part", "bits"])
 
     answers = blocks.mapInArrow(ask, "part int, block bigint, side int, asked binary").groupBy("part").applyInArrow(answer, "block bigint, side int, part int, bits binary")
@@ -233,9 +234,8 @@ def near_same(records: DataFrame) -> tuple[DataFrame, DataFrame]:
                         lo, hi = bounds[got["part"]], bounds[got["part"] + 1]
                         met[lo:hi] = np.unpackbits(np.frombuffer(got["bits"], dtype=np.uint8))[: hi - lo]
                     # an n-gram counts once for a record
-                    pair = np.unique(np.stack([row, at])[:, met[at]], axis=1) if len(at) else np.zeros((2, 0), dtype=np.int64)
-                    r = pair[0]
-                    cols = [key[pair[1]].view(np.int64), block.a[r], block.n[r].astype(np.int32), *[x[r] for x in block.sketches()]]
+                    r, at = np.divmod(np.unique((row * len(key) + at)[met[at]]), max(1, len(key)))
+                    cols = [key[at].view(np.int64), block.a[r], block.n[r].astype(np.int32), *[x[r] for x in block.sketches()]]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["gram", *[f"{letter}{c}" for c in ("a", "n", *sketch)]])
 
         asked = blocks.join(answers.where(F.col("side") == s).select("block", "answers"), "block")
