@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import prob
 from ..operators.decisions import DECISIONS, LABELS, POSITIVE, decision_rows
-from ..session import table
+from ..operators.ordering import harmonic, quantiles, ranked, running
+from ..session import staged, table
 from .registry import query
 
 def n() -> F.Column:
@@ -106,11 +106,15 @@ def e4_mcc(spark: SparkSession, sf: str) -> DataFrame:
         FROM d WHERE gold IS NOT NULL AND NOT error AND score IS NOT NULL)
 SELECT arm, round(avg(risk), 6) AS aurc FROM r GROUP BY arm"""))
 def e5_aurc(spark: SparkSession, sf: str) -> DataFrame:
-    """Area under the risk-coverage curve: the mean error of all prefixes in order of score, then id."""
-    wrong = F.when(correct(), 0.0).otherwise(1.0)
-    run = F.avg(wrong).over(W.partitionBy("arm").orderBy(F.desc("score"), "id").rowsBetween(W.unboundedPreceding, 0))
-    rows = decision_rows(spark, sf).where("gold is not null and not error and score is not null").select("arm", run.alias("risk"))
-    return rows.groupBy("arm").agg(F.round(F.avg("risk"), 6).alias("aurc"))
+    """Area under the risk-coverage curve: the mean error of all prefixes in order of score, then id.
+
+    A wrong row of rank r adds 1/k to every prefix k from r to n, that is the difference of two harmonic numbers.
+    """
+    rows = decision_rows(spark, sf).where("gold is not null and not error and score is not null").select("arm", "id", "score", correct().alias("ok"))
+    sizes = rows.groupBy("arm").agg(n().alias("n"))
+    placed = ranked(rows, ["arm"], F.desc("score"), "id").join(F.broadcast(sizes), "arm")  # a row for each arm
+    area = F.when(F.col("ok"), 0.0).otherwise(harmonic(F.col("n")) - harmonic(F.col("rank") - 1))
+    return placed.groupBy("arm").agg(F.round(F.sum(area) / F.max("n"), 6).alias("aurc"))
 
 
 @query(sql("""
@@ -122,19 +126,42 @@ def f1_risk_curve(spark: SparkSession, sf: str) -> DataFrame:
     """Risk and coverage at each score: ties are admitted as a block, coverage is of all eligible rows."""
     rows = decision_rows(spark, sf).where("gold is not null")
     s = rows.where("score is not null").groupBy("arm", "score").agg(n().alias("n"), count(correct()).alias("ok"))
-    w = W.partitionBy("arm").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    c = s.select("arm", "score", F.sum("n").over(w).alias("accepted"), F.sum("ok").over(w).alias("right_"))
+    c = running(s, ["arm"], [F.desc("score")], {"accepted": F.col("n"), "right_": F.col("ok")})
     total = rows.groupBy("arm").agg(n().alias("total"))
     return c.join(total, "arm").select("arm", "score", "accepted", prob.ratio(F.col("accepted"), F.col("total")).alias("coverage"), F.round(1 - F.col("right_") / F.col("accepted"), 6).alias("risk"))
 
 
 @query(sql("""
-, s AS (SELECT arm, score, count(*) AS n, count(*) FILTER (WHERE label <> gold) AS bad FROM d WHERE gold IS NOT NULL AND NOT error AND score IS NOT NULL GROUP BY ALL)
-SELECT arm, CAST(sum(bad) AS BIGINT) AS errors, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS tied_rows, CAST(max(n) AS BIGINT) AS largest_tie FROM s GROUP BY arm"""))
+, r AS (SELECT arm, id, score, CASE WHEN label = gold THEN 0.0 ELSE 1.0 END AS wrong FROM d WHERE gold IS NOT NULL AND NOT error AND score IS NOT NULL),
+t AS (SELECT *, sum(fresh) OVER (PARTITION BY arm ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS tie FROM (
+  SELECT *, CASE WHEN lag(score) OVER (PARTITION BY arm ORDER BY score DESC, id) - score <= 1e-14 THEN 0 ELSE 1 END AS fresh FROM r)),
+c AS (SELECT arm, avg(wrong) OVER (PARTITION BY arm ORDER BY tie, wrong, id ROWS UNBOUNDED PRECEDING) AS best, avg(wrong) OVER (PARTITION BY arm ORDER BY tie, wrong DESC, id ROWS UNBOUNDED PRECEDING) AS worst FROM t)
+SELECT arm, round(avg(best), 6) AS lower, round(avg(worst), 6) AS upper FROM c GROUP BY arm"""))
 def f2_ties(spark: SparkSession, sf: str) -> DataFrame:
-    """How many rows stand in ties of the score, within which the order of acceptance is undefined."""
-    s = decision_rows(spark, sf).where("gold is not null and not error and score is not null").groupBy("arm", "score").agg(n().alias("n"), count(~correct()).alias("bad"))
-    return s.groupBy("arm").agg(F.sum("bad").alias("errors"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("tied_rows"), F.max("n").alias("largest_tie"))
+    """Bounds of the AURC over all orders within ties: scores no further than 1e-14 apart in sequence are one tie, its wrong
+    rows stand last for the lower bound and first for the upper one.
+
+    Only counts of each tie are needed: with a rows before it, of n in all, k wrong ones of m stand at ranks a + m - k + 1 to
+    a + m, or a + 1 to a + k, and each adds a difference of harmonic numbers. Sums of harmonic numbers are
+    H(1) + ... + H(x) = (x + 1) H(x) - x.
+    """
+    rows = decision_rows(spark, sf).where("gold is not null and not error and score is not null")
+    s = rows.groupBy("arm", "score").agg(n().alias("n"), count(~correct()).alias("bad"))
+    # the next greater distinct score stands one rank before
+    placed = staged(ranked(s, ["arm"], F.desc("score")), "scores")
+    former = placed.select("arm", (F.col("rank") + 1).alias("rank"), F.col("score").alias("former"))
+    marked = placed.join(former, ["arm", "rank"], "left")
+    fresh = F.when(F.col("former") - F.col("score") <= 1e-14, 0).otherwise(1)
+    ties = running(marked.withColumn("fresh", fresh), ["arm"], [F.desc("score")], {"tie": F.col("fresh")}).groupBy("arm", "tie").agg(F.sum("n").alias("m"), F.sum("bad").alias("k"))
+    r = running(ties, ["arm"], ["tie"], {"upto": F.col("m")})
+    total = ties.groupBy("arm").agg(F.sum("m").alias("n"))
+    sums = lambda x: (x + 1) * harmonic(x) - x
+    last, first = F.col("upto"), F.col("upto") - F.col("m")
+    area = lambda lo, hi: F.col("k") * harmonic(F.col("n")) - (sums(hi) - sums(lo))
+    r = r.join(F.broadcast(total), "arm")  # a row for each arm
+    lower, upper = area(last - F.col("k") - 1, last - 1), area(first - 1, first + F.col("k") - 1)
+    some = lambda c: F.sum(F.when(F.col("k") > 0, c).otherwise(0.0)) / F.max("n")
+    return r.groupBy("arm").agg(F.round(some(lower), 6).alias("lower"), F.round(some(upper), 6).alias("upper"))
 
 
 @query(sql("""
@@ -161,8 +188,12 @@ SELECT arm, execution_mode, count(*) AS calls, count(*) FILTER (WHERE error) AS
   round(quantile_cont(latency, 0.5), 4) AS p50, round(quantile_cont(latency, 0.95), 4) AS p95, round(quantile_cont(latency, 0.99), 4) AS p99, round(avg(latency), 4) AS mean_latency FROM d GROUP BY ALL"""))
 def e10_usage(spark: SparkSession, sf: str) -> DataFrame:
     """Calls, failures, tokens and exact latency quantiles (linear interpolation)."""
-    q = lambda p, name: F.round(F.percentile("latency", F.lit(p)), 4).alias(name)
-    return decision_rows(spark, sf).groupBy("arm", "execution_mode").agg(n().alias("calls"), count(F.col("error")).alias("failed"), count(F.col("tokens_in").isNull()).alias("unknown_usage"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), q(0.5, "p50"), q(0.95, "p95"), q(0.99, "p99"), F.round(F.avg("latency"), 4).alias("mean_latency"))
+    rows = decision_rows(spark, sf)
+    by = ["arm", "execution_mode"]
+    sums = rows.groupBy(*by).agg(n().alias("calls"), count(F.col("error")).alias("failed"), count(F.col("tokens_in").isNull()).alias("unknown_usage"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.avg("latency"), 4).alias("mean_latency"))
+    q = quantiles(rows, by, "latency", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    q = q.select(F.col("arm").alias("_a"), F.col("execution_mode").alias("_m"), *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")])
+    return sums.join(q, F.col("arm").eqNullSafe(F.col("_a")) & F.col("execution_mode").eqNullSafe(F.col("_m")), "left").drop("_a", "_m")
 
 
 @query(sql("""
@@ -171,10 +202,16 @@ r AS (SELECT a.arm, abs(a.p - b.p) AS tv, a.label <> b.label AS flip FROM v a JO
 SELECT arm, count(*) AS pairs, count(*) FILTER (WHERE flip) AS flips, round(avg(tv), 6) AS mean_tv, count(*) FILTER (WHERE tv = 0) AS exact FROM r GROUP BY arm"""))
 def e11_repeatability(spark: SparkSession, sf: str) -> DataFrame:
     """Repeated verdicts of a backend on one example: total variation distance and flips over the pairs of repeats."""
-    v = decision_rows(spark, sf).where("not error").select("item", "arm", "id", "label", "p")
-    w = v.toDF("item", "arm", "id2", "label2", "p2")
-    r = v.join(w, ["item", "arm"]).where("id < id2").withColumn("tv", F.abs(F.col("p") - F.col("p2")))
-    return r.groupBy("arm").agg(n().alias("pairs"), count(F.col("label") != F.col("label2")).alias("flips"), F.round(F.avg("tv"), 6).alias("mean_tv"), count(F.col("tv") == 0).alias("exact"))
+    # no pairs are formed: of m sorted probabilities the one of rank r is added 2 r - m - 1 times in all differences
+    v = decision_rows(spark, sf).where("not error and item is not null").select("item", "arm", "id", "label", "p")
+    two = lambda c: c * (c - 1) / 2
+    sizes = v.groupBy("arm", "item").agg(n().alias("m"), F.count("p").alias("mp")).where("m > 1")
+    placed = ranked(v.where("p is not null"), ["arm", "item"], "p", "id").join(sizes.select("arm", "item", "mp"), ["arm", "item"])
+    apart = placed.groupBy("arm").agg(F.sum(F.col("p") * (2 * F.col("rank") - F.col("mp") - 1)).alias("tv"))
+    alike = lambda c: v.where(F.col(c).isNotNull()).groupBy("arm", "item", c).agg(n().alias("c")).groupBy("arm").agg(F.sum(two(F.col("c"))).alias(f"same_{c}"))
+    pairs = sizes.groupBy("arm").agg(F.sum(two(F.col("m"))).alias("pairs"), F.sum(two(F.col("mp"))).alias("with_p"))
+    r = pairs.join(apart, "arm", "left").join(alike("label"), "arm").join(alike("p"), "arm", "left")
+    return r.select("arm", F.col("pairs").cast("bigint").alias("pairs"), (F.col("pairs") - F.col("same_label")).cast("bigint").alias("flips"), F.round(F.col("tv") / F.col("with_p"), 6).alias("mean_tv"), F.coalesce("same_p", F.lit(0)).cast("bigint").alias("exact"))
 
 
 @query(sql("""

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import prob
 from ..operators import graph, policies
 from ..operators.decisions import DECISIONS, LABELS, POSITIVE, decision_rows
+from ..operators.ordering import ranked
 from ..session import table
 from .metrics import correct, count, n, sql
 from .registry import query
@@ -100,9 +101,9 @@ SELECT arm, count(*) AS accepted, count(*) FILTER (WHERE ok) AS correct, round(m
 def f3_matched_top_k(spark: SparkSession, sf: str) -> DataFrame:
     """All arms at equal volume: the k best edges of each, k being the least number that an arm accepts."""
     rows = decision_rows(spark, sf).where((F.col("label") == POSITIVE) & F.col("score").isNotNull() & F.col("gold").isNotNull())
-    ranked = rows.select("arm", "score", correct().alias("ok"), F.row_number().over(W.partitionBy("arm").orderBy(F.desc("score"), "id")).alias("k"))
+    placed = ranked(rows.select("arm", "id", "score", correct().alias("ok")), ["arm"], F.desc("score"), "id", name="k")
     least = rows.groupBy("arm").agg(n().alias("c")).agg(F.min("c").alias("most"))
-    return ranked.join(F.broadcast(least), F.col("k") <= F.col("most")).groupBy("arm").agg(n().alias("accepted"), count(F.col("ok")).alias("correct"), F.round(F.min("score"), 6).alias("cut"))  # one row is broadcast
+    return placed.join(F.broadcast(least), F.col("k") <= F.col("most")).groupBy("arm").agg(n().alias("accepted"), count(F.col("ok")).alias("correct"), F.round(F.min("score"), 6).alias("cut"))  # one row is broadcast
 
 
 @query(sql("""
@@ -129,8 +130,8 @@ def f9_conformal_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Conformal threshold: of the groups' greatest nonconformities, the one of rank ceil(0.9 (n + 1)); none beyond n."""
     rows = decision_rows(spark, sf).where("split = 'calibration' and gold is not null and not error")
     g = rows.groupBy("arm", "grp").agg(F.max(F.when(F.col("gold") == POSITIVE, 1 - F.col("p")).otherwise(F.col("p"))).alias("worst"))
-    w = W.partitionBy("arm")
-    r = g.select("arm", "worst", F.row_number().over(w.orderBy("worst", "grp")).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
+    sizes = g.groupBy("arm").agg(n().alias("n"))
+    r = ranked(g, ["arm"], "worst", "grp", name="k").join(F.broadcast(sizes), "arm")  # a row for each arm
     return r.where(F.col("k") == F.ceil((F.col("n") + 1) * 0.9)).select("arm", F.round("worst", 6).alias("threshold"))
 
 
@@ -138,7 +139,7 @@ def f9_conformal_fit(spark: SparkSession, sf: str) -> DataFrame:
 WITH t AS (SELECT split, id, row_number() OVER (PARTITION BY split ORDER BY sha256('plan' || id), id) AS k FROM (SELECT DISTINCT id, split FROM relation_examples))
 SELECT split, id FROM t WHERE k <= 60""")
 def f12_ranked_quota(spark: SparkSession, sf: str) -> DataFrame:
-    """A quota of 60 ids of each split in digest order (a sampling operator)."""
+    """A quota of 60 ids of each split in digest order (a sampling operator); the planner limits each partition to 60 first."""
     rows = table(spark, sf, "relation_examples").select("id", "split").distinct()
     k = F.row_number().over(W.partitionBy("split").orderBy(F.sha2(F.concat(F.lit("plan"), "id"), 256), "id"))
     return rows.withColumn("k", k).where("k <= 60").select("split", "id")
