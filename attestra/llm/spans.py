@@ -29,7 +29,7 @@ from .bpe import _mixed
 from .forms import code_points
 
 LENGTH = 200
-CELLS = 16  # cells of the sketch to an anchor: one unrepeated anchor in 16 passes at most
+CELLS = 1024  # cells of the sketch to an anchor: one unrepeated anchor in 1024 passes at most
 MOST = 48  # bits of a cell, which leave 15 for the row within a batch
 SLICE = 1 << 20  # code points hashed at once
 BASE = np.uint64(0x9E3779B97F4A7C15)
