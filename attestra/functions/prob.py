@@ -59,3 +59,29 @@ def ratio(a: Column, b: Column, digits: int = 6) -> Column:
 def hash_bucket(key: Column, modulus: int) -> Column:
     """The first eight hexadecimal digits of the SHA-256 of a key, modulo `modulus`."""
     return (F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("bigint") % modulus).cast("bigint")
+
+
+def transformed(p: Column, temperature: float, weight: float = 1.0, bias: float = 0.0) -> Column:
+    """A binary probability after temperature and bias on the positive logit, mixed with the original by `weight`; unchanged at
+    temperature 1 without bias, and at weight 0."""
+    if weight == 0 or (temperature == 1 and bias == 0):
+        return p
+    a, b = F.log(F.greatest(p, F.lit(CLIP))) / temperature + bias, F.log(F.greatest(1 - p, F.lit(CLIP))) / temperature
+    return (1 - weight) * p + weight / (1 + F.exp(b - a))
+
+
+def softmax(values: Column) -> Column:
+    """Softmax of an array, stable by its greatest value."""
+    e = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+
+
+def close(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
+    """Whether two numbers are equal within an absolute or relative tolerance."""
+    return F.abs(a - b) <= F.greatest(F.lit(tolerance), tolerance * F.greatest(F.abs(a), F.abs(b)))
+
+
+def sigmoid(x: Column) -> Column:
+    """The logistic function, in the form that doesn't overflow for either sign."""
+    e = F.exp(-F.abs(x))
+    return F.when(x >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
