@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import graphs, metrics, scoring, selection  # noqa: F401  (their queries register on import)
+    from . import graphs, metrics, reports, scalars, scoring, selection  # noqa: F401  (their queries register on import)

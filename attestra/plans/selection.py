@@ -211,15 +211,6 @@ def d12_taint(spark: SparkSession, sf: str) -> DataFrame:
 # evidence, shrinkage, fits
 
 
-@query("""
-WITH c AS (SELECT source, sha256(text) AS h, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL), s AS (SELECT h, min(source) AS owner, sum(n) AS copies, count(*) AS sources FROM c GROUP BY h)
-SELECT owner, count(*) AS texts, CAST(sum(copies) AS BIGINT) AS copies, CAST(sum(CASE WHEN sources > 1 THEN 1 ELSE 0 END) AS BIGINT) AS shared FROM s GROUP BY owner""")
-def e14_exact_copies(spark: SparkSession, sf: str) -> DataFrame:
-    """Evidence without exact copies: each text counts once, for the first source that has it."""
-    c = table(spark, sf, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("h"), "source").agg(n().alias("n"))
-    s = c.groupBy("h").agg(F.min("source").alias("owner"), F.sum("n").alias("copies"), n().alias("sources"))
-    return s.groupBy("owner").agg(n().alias("texts"), F.sum("copies").alias("copies"), F.sum(F.when(F.col("sources") > 1, 1).otherwise(0)).alias("shared"))
-
 
 @query(sql("""
 , g AS (SELECT arm, grp, sum(ln(1 - least((1 - score), 0.999999))) AS s, max(1 - score) AS lo, sum(1 - score) AS up FROM d WHERE label = 'same' AND score IS NOT NULL GROUP BY ALL)
