@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ATOMS, MAX_STATES = 24, 65_536
+from ..session import staged
+from .graph import components
+
+MAX_STATES = 65_536
 
 
 def canonical(proofs: Column) -> Column:
@@ -33,31 +36,69 @@ def bounds(formulas: DataFrame, atoms: DataFrame) -> DataFrame:
     return each.groupBy("formula_id").agg(F.round(F.max("lo"), 9).alias("lower"), F.round(F.least(F.lit(1.0), F.sum("up")), 9).alias("upper"))
 
 
-def worlds(formulas: DataFrame, atoms: DataFrame, max_atoms: int = 8) -> DataFrame:
-    """formula_id, p: exact probability with independent atoms by summing all worlds; formulas of more atoms are unsupported
-    and have no row (use `exact`)."""
-    few = atoms.groupBy("formula_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_atoms).drop("n")
-    numbered = atoms.join(few, "formula_id").groupBy("formula_id").agg(F.array_sort(F.collect_list(F.struct("atom", "p"))).alias("a"))
+def parts(formulas: DataFrame) -> DataFrame:
+    """formula_id, part, proofs: the groups of proofs that share atoms, directly or through others. Parts of a formula have no atom in
+    common, so they are independent. Formulas without proofs, or with an empty proof (TRUE), have no row."""
+    f = formulas.select("formula_id", canonical(F.col("proofs")).alias("proofs")).where(~F.exists("proofs", lambda p: F.size(p) == 0))
+    p = staged(f.select("formula_id", F.posexplode("proofs").alias("no", "atoms")), "proofs")
+    name = lambda a: F.concat(F.col("formula_id").cast("string"), F.lit("|"), a)
+    links = p.select(name(F.col("atoms")[0]).alias("a"), F.explode("atoms").alias("x"), "formula_id").select("a", name(F.col("x")).alias("b"))
+    roots = components(links, "a", "b")
+    placed = p.withColumn("node", name(F.col("atoms")[0])).join(roots, "node")
+    return placed.groupBy("formula_id", F.col("root").alias("part")).agg(F.collect_list("atoms").alias("proofs"))
+
+
+def proof_bounds(formulas: DataFrame, atoms: DataFrame) -> DataFrame:
+    """formula_id, parts, lower, upper of the probability with independent atoms: within a part the proofs may depend on each other in
+    any way, parts are independent. A proof's probability is the product of its atoms'."""
+    p = parts(formulas).select("formula_id", "part", F.posexplode("proofs").alias("no", "atoms"))
+    flat = p.select("formula_id", "part", "no", F.explode("atoms").alias("atom")).join(atoms, ["formula_id", "atom"])
+    proofs = flat.groupBy("formula_id", "part", "no").agg(F.exp(F.sum(F.log("p"))).alias("q"))
+    each = proofs.groupBy("formula_id", "part").agg(F.max("q").alias("lo"), F.least(F.lit(1.0), F.sum("q")).alias("up"))
+    none = lambda c: 1 - F.when(F.max(c) >= 1, 0.0).otherwise(F.exp(F.sum(F.log1p(-F.when(F.col(c) < 1, F.col(c)).otherwise(0.0)))))
+    return each.groupBy("formula_id").agg(F.count(F.lit(1)).alias("parts"), F.round(none("lo"), 9).alias("lower"), F.round(none("up"), 9).alias("upper"))
+
+
+def worlds(formulas: DataFrame, atoms: DataFrame, max_atoms: int = 16) -> DataFrame:
+    """formula_id, p, state: the probability with independent atoms by summing all worlds, part by part. A part of more than
+    `max_atoms` atoms goes to `exact`; where that gives bounds only, p is null and the state says so. Formulas without proofs
+    are 0, with an empty proof 1."""
+    split = staged(parts(formulas).withColumn("id", F.concat(F.col("formula_id").cast("string"), F.lit("|"), "part")), "parts")
+    flat = split.select("id", "formula_id", F.explode(F.array_distinct(F.flatten("proofs"))).alias("atom"))
+    own = staged(flat.join(atoms, ["formula_id", "atom"]).select(F.col("id").alias("formula_id"), "atom", "p"), "atoms")
+    small = own.groupBy("formula_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_atoms).select("formula_id")
+    named = split.select(F.col("id").alias("formula_id"), "proofs")
+    done = _summed(named.join(small, "formula_id"), own.join(small, "formula_id")).select("formula_id", "p", F.lit("exact").alias("state"))
+    rest = exact(named.join(small, "formula_id", "left_anti"), own.join(small, "formula_id", "left_anti"))
+    rest = rest.select("formula_id", F.when(F.col("state") == "exact", F.col("lower")).alias("p"), "state")
+    each = done.unionByName(rest).join(split.select(F.col("id").alias("part_id"), F.col("formula_id").alias("f")), F.col("formula_id") == F.col("part_id"))
+    none = F.when(F.max("p") >= 1, 0.0).otherwise(F.exp(F.sum(F.log1p(-F.when(F.col("p") < 1, F.col("p")).otherwise(0.0)))))
+    whole = each.groupBy(F.col("f").alias("formula_id")).agg(F.when(F.count("p") == F.count(F.lit(1)), F.round(1 - none, 12)).alias("p"), F.max("state").alias("state"))
+    fixed = formulas.select("formula_id", F.exists("proofs", lambda p: F.size(p) == 0).alias("_true"), (F.size("proofs") == 0).alias("_false")).where("_true or _false")
+    return whole.unionByName(fixed.select("formula_id", F.when(F.col("_true"), 1.0).otherwise(0.0).alias("p"), F.lit("exact").alias("state")))
+
+
+def _summed(formulas: DataFrame, atoms: DataFrame) -> DataFrame:
+    numbered = atoms.groupBy("formula_id").agg(F.array_sort(F.collect_list(F.struct("atom", "p"))).alias("a"))
     f = formulas.join(numbered, "formula_id").select("formula_id", "proofs", "a")
     names = F.transform("a", lambda x: x["atom"])
     f = f.withColumn("masks", F.transform("proofs", lambda p: F.aggregate(F.array_distinct(p), F.lit(0).cast("bigint"), lambda m, x: m + F.pow(F.lit(2.0), F.array_position(names, x) - 1).cast("bigint"))))
     w = f.select("formula_id", "masks", "a", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.pow(F.lit(2.0), F.size("a")) - 1).cast("bigint"))).alias("w"))
     true = F.exists("masks", lambda m: F.col("w").bitwiseAND(m) == m)
     weight = F.expr("aggregate(transform(a, (x, i) -> CASE WHEN (w div CAST(power(2, i) AS BIGINT)) % 2 = 1 THEN x.p ELSE 1 - x.p END), 1.0D, (s, x) -> s * x)")
-    return w.groupBy("formula_id").agg(F.round(F.sum(F.when(true, weight).otherwise(0.0)), 9).alias("p"))
+    return w.groupBy("formula_id").agg(F.sum(F.when(true, weight).otherwise(0.0)).alias("p"))
 
 
-def shannon(proofs: list[list[str]], p: dict[str, float], max_atoms: int = MAX_ATOMS, max_states: int = MAX_STATES) -> tuple[float, float, str]:
-    """(lower, upper, state) of one formula with independent atoms: exact by memoized expansion, else staged with bounds [0, 1].
+def shannon(proofs: list[list[str]], p: dict[str, float], max_states: int = MAX_STATES) -> tuple[float, float, str]:
+    """(lower, upper, state) of one formula with independent atoms: exact by memoized expansion.
 
-    Parts without common atoms are expanded apart; the most frequent atom is decided first, ties by name.
+    Parts without common atoms are expanded apart; the most frequent atom is decided first, ties by name. Beyond `max_states`
+    the formula is staged with the bounds that hold whatever the dependence; with an atom of no valid probability, with [0, 1].
     """
     sets = {frozenset(x) for x in proofs}
     atoms = set().union(*sets) if sets else set()
     if any(a not in p or not 0 <= p[a] <= 1 for a in atoms):
         return 0.0, 1.0, "staged: probability"
-    if len(atoms) > max_atoms:
-        return 0.0, 1.0, "staged: atoms"
     memo: dict[frozenset, float] = {}
 
     def minimal(s: set[frozenset]) -> frozenset:
@@ -102,7 +143,8 @@ def shannon(proofs: list[list[str]], p: dict[str, float], max_atoms: int = MAX_A
     try:
         v = value(minimal(sets))
     except (OverflowError, RecursionError):
-        return 0.0, 1.0, "staged: states"
+        low = max((max(0.0, sum(p[a] for a in x) - len(x) + 1) for x in sets), default=0.0)
+        return low, min(1.0, sum(min(p[a] for a in x) for x in sets)), "staged: states"
     return v, v, "exact"
 
 
@@ -113,7 +155,7 @@ def exact(formulas: DataFrame, atoms: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [shannon([list(x) for x in proofs], dict(p) if p is not None else {}) for proofs, p in zip(batch["proofs"], batch["p"], strict=True)]
-            yield pd.DataFrame({"formula_id": batch["formula_id"], "lower": [round(r[0], 9) for r in rows], "upper": [round(r[1], 9) for r in rows], "state": [r[2] for r in rows]})
+            yield pd.DataFrame({"formula_id": batch["formula_id"], "lower": [round(r[0], 12) for r in rows], "upper": [round(r[1], 12) for r in rows], "state": [r[2] for r in rows]})
 
     kind = formulas.schema["formula_id"].dataType.simpleString()
     return formulas.join(own, "formula_id", "left").select("formula_id", "proofs", "p").mapInPandas(run, f"formula_id {kind}, lower double, upper double, state string")

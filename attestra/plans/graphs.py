@@ -110,16 +110,6 @@ def e24_violations(spark: SparkSession, sf: str) -> DataFrame:
     return graph.violations(nodes, edges, F.broadcast(schema))  # two rows
 
 
-@query("""
-WITH j AS (SELECT user_id, event_id, row_number() OVER w AS version, sha256(concat_ws('|', event_id, event_type, props)) AS own, lag(sha256(concat_ws('|', event_id, event_type, props))) OVER w AS previous FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, event_id, version, sha256(concat_ws('|', previous, own)) AS link FROM j""")
-def f10_hash_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Journal links: each event's digest with that of the one before it in its stream."""
-    own = F.sha2(F.concat_ws("|", "event_id", "event_type", "props"), 256)
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    j = table(spark, sf, "events").select("user_id", "event_id", F.row_number().over(w).cast("bigint").alias("version"), own.alias("own"), F.lag(own).over(w).alias("previous"))
-    return j.select("user_id", "event_id", "version", F.sha2(F.concat_ws("|", "previous", "own"), 256).alias("link"))
-
 
 # lineage
 
@@ -142,17 +132,6 @@ def h2_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.bounds(*_lineage(spark, sf))
 
 
-@query()
-def h3_worlds(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact probabilities by summing all worlds, for lineages of up to 8 atoms (checked against h4_exact in the tests)."""
-    return lineage.worlds(*_lineage(spark, sf))
-
-
-@query()
-def h4_exact(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact probabilities by memoized expansion; what exceeds its caps is staged with bounds 0 and 1."""
-    return lineage.exact(*_lineage(spark, sf))
-
 
 @query("""
 WITH l AS (SELECT DISTINCT l_orderkey AS formula_id, l_suppkey AS s FROM lineitem)

@@ -300,14 +300,14 @@ def e31_exposure(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql("""
 SELECT id, CASE WHEN error THEN 'failed' WHEN gold IS NULL THEN 'ineligible' WHEN label = gold THEN 'right' ELSE 'wrong' END AS state,
-  CASE WHEN NOT error AND gold IS NOT NULL THEN round(2 * power(p - CASE WHEN gold = 'same' THEN 1 ELSE 0 END, 2), 6) END AS brier,
+  CASE WHEN NOT error AND gold IS NOT NULL THEN round(2 * power(p - CASE WHEN gold = 'same' THEN 1 ELSE 0 END, 2), 9) END AS brier,
   CASE WHEN NOT error AND gold IS NOT NULL THEN round(-ln(greatest(dist[gold], 1e-15)), 6) + 0.0 END AS log_loss FROM d"""))
 def e32_row_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of each row: Brier score and log loss are null unless the row is eligible and the call succeeded."""
     rows = decision_rows(spark, sf)
     ok = ~F.col("error") & F.col("gold").isNotNull()
     state = F.when(F.col("error"), "failed").when(F.col("gold").isNull(), "ineligible").when(correct(), "right").otherwise("wrong")
-    return rows.select("id", state.alias("state"), F.round(F.when(ok, prob.brier(F.col("dist"), F.col("gold"), LABELS)), 6).alias("brier"), F.round(F.when(ok, prob.log_loss(F.col("dist"), F.col("gold"))), 6).alias("log_loss"))
+    return rows.select("id", state.alias("state"), F.round(F.when(ok, 2 * F.pow(F.col("p") - F.when(F.col("gold") == POSITIVE, 1.0).otherwise(0.0), 2)), 9).alias("brier"), F.round(F.when(ok, prob.log_loss(F.col("dist"), F.col("gold"))), 6).alias("log_loss"))
 
 
 @query(sql("""

@@ -86,7 +86,10 @@ def test_lineage_caps_and_edges():
     assert lineage.shannon([], {}) == (0.0, 0.0, "exact")
     assert lineage.shannon([[]], {}) == (1.0, 1.0, "exact")
     assert lineage.shannon([["a"]], {})[2].startswith("staged")
-    assert lineage.shannon([[f"a{i}"] for i in range(30)], {f"a{i}": 0.1 for i in range(30)})[2] == "staged: atoms"
+    many = lineage.shannon([[f"a{i}"] for i in range(30)], {f"a{i}": 0.1 for i in range(30)})
+    assert many[2] == "exact" and many[0] == pytest.approx(1 - 0.9**30)
+    chain = [[f"a{i}", f"a{i + 1}", f"a{(7 * i) % 40}"] for i in range(39)]
+    assert lineage.shannon(chain, {f"a{i}": 0.5 for i in range(40)}, max_states=50) == (0.0, 1.0, "staged: states")
 
 
 def heaviest(weight, edges):
