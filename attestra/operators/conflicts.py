@@ -10,23 +10,31 @@ from pyspark.sql import functions as F
 
 from .graph import components
 
-ENUMERATE, FOREST, CUTSET = 16, 256, 4
+ENUMERATE, FOREST, CUTSET, FLOW = 16, 256, 4, 2048  # vertices; vertices; cut vertices; vertices of a two-colourable component
+WIDTH, SPAN = 24, 64  # units of time to a bucket; buckets of a short interval
 
 
 def conflict_edges(assertions: DataFrame) -> DataFrame:
     """a, b (ids, a < b) of assertions on one subject, predicate and scope whose half-open intervals overlap and that differ in
     object with positive polarity, or in polarity on one object. A null start or end is unbounded.
 
-    assertions: id, subject, predicate, object, scope, polarity (1 or -1), start, end. An equi-join with a residual on
-    time buckets is not needed: the key is the subject; hot subjects are split by adaptive execution.
+    assertions: id, subject, predicate, object, scope, polarity (1 or -1), start, end. Intervals meet in buckets of WIDTH, and a pair
+    counts in the first bucket that both are in, so that a subject with many assertions over time is no all-pairs join.
+    Intervals of more than SPAN buckets, or without an end, are long; these are joined by subject with all others.
     """
     keys = ["subject", "predicate", "scope"]
     low, high = F.lit(-(2**62)).cast("bigint"), F.lit(2**62).cast("bigint")
-    x = assertions.select(*keys, "id", "object", "polarity", F.coalesce("start", low).alias("s"), F.coalesce("end", high).alias("e"))
-    y = x.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("id", "object", "polarity", "s", "e")])
-    overlap = (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")) & (F.col("id") < F.col("id2"))
+    x = assertions.select(*keys, "id", "object", "polarity", F.coalesce("start", low).alias("s"), F.coalesce("end", high).alias("e")).where("s < e")
+    first, last = F.floor(F.col("s") / WIDTH), F.floor((F.col("e") - 1) / WIDTH)
+    x = x.withColumns({"f": first, "long": last - first >= SPAN}).withColumn("l", F.when(~F.col("long"), last))
+    rename = lambda df: df.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("id", "object", "polarity", "s", "e", "f", "long")], *[c for c in df.columns if c == "bucket"])
+    short = x.where("not long").withColumn("bucket", F.explode(F.sequence("f", "l")))
+    near = short.join(rename(short), [*keys, "bucket"]).where((F.col("bucket") == F.greatest("f", "f2")) & (F.col("id") < F.col("id2")))
+    far = x.where("long").join(rename(x), keys).where((F.col("id") != F.col("id2")) & (~F.col("long2") | (F.col("id") < F.col("id2"))))
+    columns = ["id", "id2", "object", "object2", "polarity", "polarity2", "s", "s2", "e", "e2"]
+    met = near.select(*columns).unionByName(far.select(*columns)).where((F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")))
     clash = F.when(F.col("object") == F.col("object2"), F.col("polarity") != F.col("polarity2")).otherwise((F.col("polarity") == 1) & (F.col("polarity2") == 1))
-    return x.join(y, keys).where(overlap & clash).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    return met.where(clash).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
 def _forest(nodes: list, weight: dict, near: dict) -> list:
@@ -56,9 +64,74 @@ def _forest(nodes: list, weight: dict, near: dict) -> list:
     return chosen
 
 
+def colored(nodes: list, near: dict) -> dict | None:
+    """A two-colouring, or None where there is an odd cycle."""
+    color: dict = {}
+    for root in nodes:
+        if root in color:
+            continue
+        color[root], queue = 0, [root]
+        for v in queue:
+            for u in near[v]:
+                if u not in color:
+                    color[u] = 1 - color[v]
+                    queue.append(u)
+                elif color[u] == color[v]:
+                    return None
+    return color
+
+
+def min_cut(nodes: list, weight: dict, near: dict, color: dict) -> tuple[list, int]:
+    """(heaviest independent set, greatest flow) of a two-coloured graph: the flow runs from the source through vertices of
+    colour 0, bounded by their weights, over the edges to those of colour 1 and the sink; what the cut leaves is independent,
+    and weighs the total less the flow. Shortest augmenting paths, all of one length in a phase."""
+    flow: dict = {v: {} for v in nodes}  # over edges from colour 0
+    left = {v: weight[v] for v in nodes}  # what source or sink can still take
+    total = 0
+    while True:
+        level = {v: 0 for v in nodes if color[v] == 0 and left[v] > 0}
+        queue, found = list(level), False
+        for v in queue:
+            for u in near[v]:
+                if u not in level and (color[v] == 0 or flow[u].get(v, 0) > 0):
+                    level[u] = level[v] + 1
+                    queue.append(u)
+                    found |= color[u] == 1 and left[u] > 0
+        if not found:
+            break
+        turn = {v: iter(sorted(near[v])) for v in level}
+        for root in [v for v in nodes if level.get(v) == 0 and color[v] == 0]:
+            while left[root] > 0:
+                path, v = [root], root
+                while not (color[v] == 1 and left[v] > 0):
+                    u = next((u for u in turn[v] if level.get(u) == level[v] + 1 and (color[v] == 0 or flow[u].get(v, 0) > 0)), None)
+                    if u is None:
+                        path.pop()
+                        if not path:
+                            break
+                        v = path[-1]
+                        continue
+                    path.append(u)
+                    v = u
+                if not path:
+                    break
+                amount = min(left[root], left[v], *[flow[b][a] for a, b in zip(path, path[1:], strict=False) if color[a] == 1])
+                for a, b in zip(path, path[1:], strict=False):
+                    if color[a] == 0:
+                        flow[a][b] = flow[a].get(b, 0) + amount
+                    else:
+                        flow[b][a] -= amount
+                left[root] -= amount
+                left[v] -= amount
+                total += amount
+                turn = {v: iter(sorted(near[v])) for v in level}
+    return sorted(v for v in nodes if (v in level) == (color[v] == 0)), total
+
+
 def solve(weight: dict, edges: list[tuple]) -> tuple[list, str]:
     """(chosen ids, state) of one component: enumeration up to 16 vertices (of equally heavy sets the lexicographically least),
-    a forest up to 256, a cut set of up to 4 vertices whose removal leaves a forest; anything else is staged, with none chosen."""
+    a forest up to 256, a cut set of up to 4 vertices whose removal leaves a forest, a least cut up to 2,048 where two colours
+    suffice; anything else is staged, with none chosen."""
     nodes = sorted(weight)
     near = {v: set() for v in nodes}
     for a, b in edges:
@@ -77,6 +150,8 @@ def solve(weight: dict, edges: list[tuple]) -> tuple[list, str]:
 
         grow(0, (), 0, frozenset())
         return list(best[1]), "exact: enumeration"
+    if len(nodes) <= FLOW and (color := colored(nodes, near)) is not None:
+        return min_cut(nodes, weight, near, color)[0], "exact: flow"
     if len(nodes) > FOREST:
         return [], "staged: vertices"
     cut, live = [], {v: set(n) for v, n in near.items()}
@@ -122,7 +197,7 @@ def solve(weight: dict, edges: list[tuple]) -> tuple[list, str]:
 def resolve(assertions: DataFrame) -> DataFrame:
     """id, component, chosen, state: a heaviest conflict-free set of each component of the conflict graph.
 
-    Assertions without conflict are chosen. Components above 256 vertices are staged without leaving the JVM, so a task
+    Assertions without conflict are chosen. Components above 2,048 vertices are staged without leaving the JVM, so a task
     never holds more than that. assertions also has `weight` (at least 0).
     """
     edges = conflict_edges(assertions)
@@ -130,9 +205,9 @@ def resolve(assertions: DataFrame) -> DataFrame:
     sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     placed = assertions.select("id", "weight").join(comps, "id", "left").join(sizes, "component", "left")
     alone = placed.where("component is null").select("id", F.col("id").alias("component"), F.lit(True).alias("chosen"), F.lit("exact: alone").alias("state"))
-    over = placed.where(F.col("size") > FOREST).select("id", "component", F.lit(False).alias("chosen"), F.lit("staged: vertices").alias("state"))
-    small = placed.where(F.col("size") <= FOREST)
-    out_edges = edges.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("near"))  # below 256 for those that are solved
+    over = placed.where(F.col("size") > FLOW).select("id", "component", F.lit(False).alias("chosen"), F.lit("staged: vertices").alias("state"))
+    small = placed.where(F.col("size") <= FLOW)
+    out_edges = edges.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("near"))  # below FLOW for those that are solved
     rows = small.join(out_edges, "id", "left").groupBy("component").agg(F.collect_list(F.struct("id", "weight", "near")).alias("v"))
     kind = assertions.schema["id"].dataType.simpleString()
 
@@ -156,3 +231,21 @@ def certificate(assertions: DataFrame, resolved: DataFrame) -> DataFrame:
     bad = conflict_edges(assertions).join(chosen.withColumnRenamed("id", "a"), "a").join(chosen.withColumnRenamed("id", "b"), "b")
     total = resolved.join(assertions.select("id", "weight"), "id").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("chosen"), 1)).alias("chosen"), F.sum(F.when(F.col("chosen"), F.col("weight")).otherwise(0)).alias("weight"))
     return total.join(F.broadcast(bad.agg(F.count(F.lit(1)).alias("conflicts"))))
+
+
+def component_digests(assertions: DataFrame, resolved: DataFrame) -> DataFrame:
+    """component, state_hash: an order-free digest of each component's vertices and weights."""
+    h = F.xxhash64("id", "weight")
+    rows = resolved.select("id", "component").join(assertions.select("id", "weight"), "id")
+    return rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 16)).alias("y"))
+
+
+def resolve_changed(assertions: DataFrame, changed: DataFrame, former: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(resolution, re-solved components) after `changed` (id, weight) replaced weights: components whose digest is as before keep
+    their rows of `former`; only the others are solved again. Weights don't change who conflicts with whom."""
+    new = assertions.join(changed.select("id", F.col("weight").alias("_w")), "id", "left").withColumn("weight", F.coalesce("_w", "weight")).drop("_w")
+    before, after = component_digests(assertions, former), component_digests(new, former)
+    touched = after.join(before, ["component", "size", "x", "y"], "left_anti").select("component")
+    rows = former.select("id", "component").join(touched, "component")
+    again = resolve(new.join(rows.select("id"), "id", "left_semi"))
+    return former.join(touched, "component", "left_anti").unionByName(again), touched

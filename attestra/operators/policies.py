@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,19 +31,32 @@ def shrunken(rows: DataFrame, by: list[str], wrong: str, weight: float) -> DataF
     return bins.select(*by, "n", F.round((F.col("_k") + weight * F.col("_q")) / (F.col("n") + weight), 6).alias("risk"))
 
 
-def poisson_draws(stats: DataFrame, group: str, draws: int) -> DataFrame:
-    """Each group in each draw with a Poisson(1) weight `k` from the hash of "draw:group"; weight 0 rows are left out.
+def drawn_sums(stats: DataFrame, group: str, columns: list[str], draws: int) -> DataFrame:
+    """draw, and the sum of each column over the groups under Poisson(1) weights, in each of `draws` draws (a multiple of 16).
 
-    The weights don't depend on partitions or order, so that a bootstrap repeats exactly anywhere.
+    A weight comes from 16 bits of the SHA-256 of "group:block", with 16 draws to a block, so it doesn't depend on partitions
+    or order. Each task multiplies its groups' weights with their sums as matrices, and gives one row for each draw.
     """
-    drawn = stats.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))).alias("draw"))
-    u = F.conv(F.substring(F.sha2(F.concat(F.col("draw").cast("string"), F.lit(":"), group), 256), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-    total, term, k = 0.0, math.exp(-1), F.lit(0)
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(draws // 16 - 1)), lambda i: F.unhex(F.sha2(F.concat(F.col(group), F.lit(":"), i.cast("string")), 256)))
+    bits = stats.select(F.aggregate(blocks, F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x)).alias("bits"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    total, term, steps = 0.0, math.exp(-1), []
     for i in range(1, 8):
         total += term
         term /= i
-        k = k + F.when(u >= total, 1).otherwise(0)
-    return drawn.withColumn("k", k).where("k > 0")
+        steps.append(total)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((draws, len(columns)))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                u = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u2").reshape(-1, draws) / 65536.0
+                x = np.asarray(batch.column(1).flatten()).reshape(-1, len(columns))
+                out += np.searchsorted(steps, u, side="right").astype(np.float64).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws, dtype=np.int32)), *[pa.array(c) for c in out.T]], names=["draw", *columns])
+
+    each = bits.mapInArrow(multiply, "draw int, " + ", ".join(f"{c} double" for c in columns))
+    return each.groupBy("draw").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def binomial_upper(k: int, n: int, alpha: float, empty: float | None = None) -> float | None:

@@ -178,8 +178,64 @@ def i1_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return conflicts.resolve(_assertions(spark, sf))
 
 
-@query("SELECT count(*) AS rows, 0::BIGINT AS conflicts FROM events")
+def _optimum(weight: str) -> str:
+    """SQL that enumerates the independent sets of each component: component, n, weight of the heaviest."""
+    return f"""
+WITH RECURSIVE {ASSERTIONS}, w AS (SELECT id, {weight} AS weight FROM a),
+e AS (SELECT x.id AS a, y.id AS b FROM a x JOIN a y ON x.subject = y.subject AND x.predicate = y.predicate AND x.id <> y.id AND x.s < y.e AND y.s < x.e
+  WHERE CASE WHEN x.object = y.object THEN x.polarity <> y.polarity ELSE x.polarity = 1 AND y.polarity = 1 END),
+r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), c AS (SELECT id, coalesce(min(y), id) AS component FROM a LEFT JOIN r ON a.id = r.x GROUP BY id),
+v AS (SELECT c.component, c.id, weight, coalesce((SELECT list(b) FROM e WHERE e.a = c.id), []) AS near FROM c JOIN w ON c.id = w.id),
+s(component, last, total, banned) AS (SELECT component, id, weight, near FROM v UNION ALL SELECT s.component, v.id, s.total + v.weight, list_concat(s.banned, v.near) FROM s JOIN v ON s.component = v.component AND v.id > s.last AND NOT list_contains(s.banned, v.id)),
+b AS (SELECT component, max(total) AS weight FROM s GROUP BY component), k AS (SELECT component, count(*) AS n FROM c GROUP BY component)"""
+
+
+@query(_optimum("1 + id % 9") + " SELECT component, n, CAST(weight AS BIGINT) AS weight, 0::BIGINT AS conflicts FROM b JOIN k USING (component)")
 def i4_certificate(spark: SparkSession, sf: str) -> DataFrame:
-    """The relational certificate of i1_resolution: every assertion has a row and no two chosen ones conflict."""
+    """Each component's chosen weight and the conflicts left among the chosen; the SQL finds the greatest weight by enumeration."""
     a = _assertions(spark, sf)
-    return conflicts.certificate(a, staged(conflicts.resolve(a), "resolved")).select("rows", "conflicts")
+    r = staged(conflicts.resolve(a), "resolved")
+    chosen = r.where("chosen").select("id", "component")
+    bad = conflicts.conflict_edges(a).join(chosen.toDF("a", "component"), "a").join(chosen.select(F.col("id").alias("b")), "b").groupBy("component").agg(n().alias("conflicts"))
+    sums = r.join(a.select("id", "weight"), "id").groupBy("component").agg(n().alias("n"), F.sum(F.when(F.col("chosen"), F.col("weight")).otherwise(0)).alias("weight"))
+    return sums.join(bad, "component", "left").select("component", "n", "weight", F.coalesce("conflicts", F.lit(0).cast("bigint")).alias("conflicts"))
+
+
+@query(_optimum("1 + id % 9 + CASE WHEN id % 97 = 0 THEN 5 ELSE 0 END") + " SELECT component, n, CAST(weight AS BIGINT) AS weight FROM b JOIN k USING (component) WHERE component IN (SELECT component FROM c WHERE id % 97 = 0)")
+def i9_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """The components that a change of some weights touches, with their new optimum; all other components keep their solution."""
+    a = _assertions(spark, sf)
+    former = staged(conflicts.resolve(a), "resolved")
+    changed = a.where("id % 97 = 0").select("id", (F.col("weight") + 5).alias("weight"))
+    new, touched = conflicts.resolve_changed(a, changed, former)
+    weights = a.select("id", (F.col("weight") + F.when(F.col("id") % 97 == 0, 5).otherwise(0)).alias("weight"))
+    again = new.join(touched, "component")
+    return again.join(weights, "id").groupBy("component").agg(n().alias("n"), F.sum(F.when(F.col("chosen"), F.col("weight")).otherwise(0)).alias("weight"))
+
+
+@query("""
+WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS f, l_suppkey AS s, l_partkey AS p FROM lineitem), k AS (SELECT f, s, row_number() OVER (PARTITION BY f ORDER BY s) AS i FROM (SELECT DISTINCT f, s FROM l)), m AS (SELECT f, max(i) AS m, (SELECT 0) AS z FROM k GROUP BY f),
+g(f, i, took, w) AS (SELECT f, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT) FROM m UNION ALL SELECT g.f, k.i, CASE WHEN t.t THEN list_concat(g.took, [k.s]) ELSE g.took END, g.w + CASE WHEN t.t THEN 1 + k.s % 9 ELSE 0 END FROM g JOIN k ON g.f = k.f AND k.i = g.i + 1, (VALUES (true), (false)) AS t(t)),
+parts AS (SELECT f, p, list(s) AS near FROM l GROUP BY f, p), b AS (SELECT g.f, g.took, any_value(g.w) + coalesce(sum(CASE WHEN list_has_any(q.near, g.took) THEN 0 ELSE 1 + q.p % 9 END), 0) AS w FROM g JOIN m ON g.f = m.f AND g.i = m.m JOIN parts q ON q.f = g.f GROUP BY g.f, g.took)
+SELECT b.f AS order_key, CAST(max(w) AS BIGINT) AS weight, CAST(any_value(t.t) - max(w) AS BIGINT) AS flow FROM b JOIN (SELECT f, sum(w) AS t FROM (SELECT DISTINCT f, 's' AS k, s, 1 + s % 9 AS w FROM l UNION SELECT DISTINCT f, 'p', p, 1 + p % 9 FROM l) GROUP BY f) t ON b.f = t.f GROUP BY b.f""")
+def i4_bipartite(spark: SparkSession, sf: str) -> DataFrame:
+    """Heaviest choice of suppliers and parts of each order with no part beside its supplier, by a least cut; the flow is its certificate."""
+    import pandas as pd
+
+    l = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("order_key")).agg(F.collect_set(F.struct(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))).alias("e"))  # noqa: E741
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, edges in zip(batch["order_key"], batch["e"], strict=True):
+                near, weight, color = {}, {}, {}
+                for e in edges:
+                    s, p = (0, int(e["s"])), (1, int(e["p"]))
+                    for x, y in ((s, p), (p, s)):
+                        near.setdefault(x, set()).add(y)
+                        weight[x], color[x] = 1 + x[1] % 9, x[0]
+                chosen, flow = conflicts.min_cut(sorted(near), weight, near, color)
+                out.append((key, sum(weight[v] for v in chosen), flow))
+            yield pd.DataFrame(out, columns=["order_key", "weight", "flow"])
+
+    return l.mapInPandas(run, "order_key bigint, weight bigint, flow bigint")

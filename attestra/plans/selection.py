@@ -233,32 +233,6 @@ def e16_shrunken_risk(spark: SparkSession, sf: str) -> DataFrame:
     return policies.shrunken(f, ["arm", "label", "bin"], "wrong", weight=10.0)
 
 
-@query(sql("""
-, s AS (SELECT arm, grp, count(*) AS n, count(*) FILTER (WHERE label = gold) AS ok FROM d WHERE gold IS NOT NULL GROUP BY ALL),
-w AS (SELECT arm, draw, sum(n * k) AS n, sum(ok * k) AS ok FROM (
-  SELECT s.*, draw, CAST(('0x' || substr(sha256(draw || ':' || grp), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM s, range(0, 40) AS r(draw)) AS x,
-  LATERAL (SELECT (u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238462)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT + (u >= 0.9999167588507119)::INT AS k) GROUP BY ALL),
-q AS (SELECT arm, CAST(ok AS DOUBLE) / n AS v FROM w WHERE n > 0)
-SELECT arm, count(*) AS draws, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM q GROUP BY arm"""))
-def j10_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Interval of the accuracy from a cluster bootstrap with deterministic hash weights; undefined draws are dropped."""
-    rows = decision_rows(spark, sf).where("gold is not null")
-    stats = rows.groupBy("arm", "grp").agg(n().alias("n"), count(correct()).alias("ok"))
-    drawn = policies.poisson_draws(stats, "grp", 40).groupBy("arm", "draw").agg(F.sum(F.col("n") * F.col("k")).alias("n"), F.sum(F.col("ok") * F.col("k")).alias("ok"))
-    v = drawn.where("n > 0").select("arm", (F.col("ok").cast("double") / F.col("n")).alias("v"))
-    return v.groupBy("arm").agg(n().alias("draws"), F.round(F.percentile("v", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("v", F.lit(0.975)), 6).alias("hi"))
-
-
-@query(sql("""
-, m AS (SELECT arm, avg(CASE WHEN label = gold THEN 1.0 ELSE 0.0 END) AS acc, avg(power(p - CASE WHEN gold = 'same' THEN 1 ELSE 0 END, 2)) AS b FROM d WHERE split = 'development' AND gold IS NOT NULL GROUP BY arm)
-SELECT arm, CAST(row_number() OVER (ORDER BY acc DESC, b, arm) AS INTEGER) AS place FROM m"""))
-def j3_select_arms(spark: SparkSession, sf: str) -> DataFrame:
-    """Order of the arms on the development split: accuracy, then Brier score, then name."""
-    rows = decision_rows(spark, sf).where("split = 'development' and gold is not null")
-    truth = F.when(F.col("gold") == POSITIVE, 1.0).otherwise(0.0)
-    m = rows.groupBy("arm").agg(F.avg(F.when(correct(), 1.0).otherwise(0.0)).alias("acc"), F.avg(F.pow(F.col("p") - truth, 2)).alias("b"))
-    return m.select("arm", F.row_number().over(W.orderBy(F.desc("acc"), "b", "arm")).alias("place"))  # a row for each arm
-
 
 @query(sql("""
 , g AS (SELECT arm, t, count(*) FILTER (WHERE score >= t AND label = 'same') AS n, count(*) FILTER (WHERE score >= t AND label = 'same' AND gold <> label) AS k
@@ -272,13 +246,30 @@ def j4_threshold_grid(spark: SparkSession, sf: str) -> DataFrame:
     return g.withColumn("error_rate", prob.ratio(F.col("wrong"), F.col("n")))
 
 
-@query()
+# the greatest p with P(X <= k) > alpha by halving, for thresholds on the grid whose bound is at most 0.2
+CERTIFIED = """
+WITH RECURSIVE """ + DECISIONS + """
+, g AS (SELECT arm, t, count(*) FILTER (WHERE score >= t AND label = 'same') AS n, count(*) FILTER (WHERE score >= t AND label = 'same' AND gold <> label) AS k
+  FROM d, (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE)) AS v(t) WHERE split = 'calibration' AND gold IS NOT NULL GROUP BY ALL),
+h(arm, t, n, k, lo, hi, i) AS (SELECT arm, t, n, k, k / CAST(n AS DOUBLE), 1.0::DOUBLE, 0 FROM g WHERE n > 0 AND k < n
+  UNION ALL SELECT arm, t, n, k, CASE WHEN tail > 0.05 / 6 THEN mid ELSE lo END, CASE WHEN tail > 0.05 / 6 THEN hi ELSE mid END, i + 1 FROM (
+    SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2)))) AS tail FROM h WHERE i < 60))
+, b AS (SELECT arm, t, n, hi AS bound FROM h WHERE i = 60), m AS (SELECT arm, min(t) AS t FROM b WHERE bound <= 0.2 GROUP BY arm)
+SELECT x.arm, m.t AS threshold, coalesce(b.n, 0) AS accepted, round(b.bound, 6) AS bound FROM (SELECT DISTINCT arm FROM g) x LEFT JOIN m ON x.arm = m.arm LEFT JOIN b ON b.arm = m.arm AND b.t = m.t"""
+
+
+@query(CERTIFIED)
 def c11_certified_threshold(spark: SparkSession, sf: str) -> DataFrame:
     """The least threshold of the grid whose one-sided binomial bound (corrected for the grid) allows at most 20 % wrong."""
     return policies.certified_threshold(j4_threshold_grid(spark, sf), "arm", "threshold", "n", "wrong", risk=0.2, alpha=0.05)
 
 
-@query()
+@query("""
+WITH RECURSIVE """ + DECISIONS + """
+, r AS (SELECT arm, grp, id, score, row_number() OVER (PARTITION BY arm, grp ORDER BY score DESC, id) AS k FROM d WHERE label = 'same' AND score IS NOT NULL),
+w(arm, grp, k, spent, id, score, ok) AS (SELECT DISTINCT arm, grp, CAST(0 AS BIGINT), 0.0::DOUBLE, NULL::BIGINT, NULL::DOUBLE, false FROM r
+  UNION ALL SELECT r.arm, r.grp, r.k, w.spent + CASE WHEN w.spent + (1 - r.score) <= 0.5 + 1e-12 THEN 1 - r.score ELSE 0 END, r.id, r.score, w.spent + (1 - r.score) <= 0.5 + 1e-12 FROM w JOIN r ON w.arm = r.arm AND w.grp = r.grp AND r.k = w.k + 1)
+SELECT arm, grp, id, score FROM w WHERE ok""")
 def c10_admit_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Edges admitted in order of score while each group's summed risk stays within its budget; what doesn't fit is skipped."""
     rows = decision_rows(spark, sf).where((F.col("label") == POSITIVE) & F.col("score").isNotNull()).select("arm", "grp", "id", "score")
