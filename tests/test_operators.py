@@ -173,3 +173,41 @@ def test_text_scalars(spark):
     assert [r[0] for r in secret.select(scalars.redacted(F.col("t"))).collect()] == ["key [redacted] here", "[redacted]", "plain"]
     with pytest.raises(ValueError):
         scalars.stripped(spark.createDataFrame([(1, (2,))], "id int, s struct<gold: int>"))
+
+
+def test_delta_index():
+    from attestra.operators.delta import DeltaIndex
+
+    rng = random.Random(8)
+    weight = {v: rng.randrange(0, 9) for v in range(90)}
+    edges = [(8 * (a // 8) + i, 8 * (a // 8) + j) for a in range(0, 64, 8) for i, j in itertools.combinations(range(8), 2) if rng.random() < 0.35]
+    edges += [(v, v + 1) for v in range(64, 82)]  # a path of 19
+    index = DeltaIndex(weight, edges)
+
+    def whole() -> float:
+        parts, seen = [], set()
+        near = {v: [] for v in weight}
+        for a, b in edges:
+            near[a].append(b)
+            near[b].append(a)
+        for root in weight:
+            if root not in seen:
+                queue = [root]
+                seen.add(root)
+                for v in queue:
+                    for u in near[v]:
+                        if u not in seen:
+                            seen.add(u)
+                            queue.append(u)
+                parts.append(queue)
+        return sum(sum(weight[v] for v in conflicts.solve({v: weight[v] for v in p}, [(a, b) for a, b in edges if a in p])[0]) for p in parts)
+
+    assert index.total == whole()
+    for _ in range(12):
+        v = rng.randrange(90)
+        weight[v] = rng.randrange(0, 30)
+        before = index.solved
+        assert index.update(v, weight[v]) == whole() and index.solved == before + 1
+    with pytest.raises(ValueError):
+        index.update(1000, 1)
+    assert DeltaIndex({}, []).total == 0
