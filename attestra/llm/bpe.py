@@ -13,7 +13,6 @@ The vocabulary is a parameter: a file of base64 token and rank per line. The dri
 from __future__ import annotations
 
 import base64
-import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +25,6 @@ from pyspark.sql import types as T
 
 from .forms import code_points
 
-VOCABULARY = os.environ.get("BYTE_BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 OTHER, LETTER, NUMBER, BLANK, SPACE = 0, 1, 2, 3, 4
 # The characters of the Unicode property White_Space, and the contractions of the public pattern.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -333,7 +331,7 @@ def _shared(spark: SparkSession, vocabulary: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def token_ids(spark: SparkSession, text: str, vocabulary: str = VOCABULARY) -> Column:
+def token_ids(spark: SparkSession, text: str, vocabulary: str) -> Column:
     """Column of token ids (array<int>) of a string column; [] for null and for "". Special tokens are plain text."""
     shared = _shared(spark, vocabulary)
 
@@ -344,7 +342,7 @@ def token_ids(spark: SparkSession, text: str, vocabulary: str = VOCABULARY) -> C
     return ids(F.col(text))
 
 
-def token_count(spark: SparkSession, text: str, vocabulary: str = VOCABULARY) -> Column:
+def token_count(spark: SparkSession, text: str, vocabulary: str) -> Column:
     """Column of the number of tokens (bigint) of a string column; 0 for null and for ""."""
     shared = _shared(spark, vocabulary)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..session import spread, staged, table
 from . import bpe, bundles, forms, grouping, linkage, names, overlap, packing, pieces, spans
 
+#: The file of the vocabulary byte_bpe_50k.
+VOCABULARY = os.environ.get("BYTE_BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -109,6 +112,21 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.pieces(_long_items(spark, sf).dropDuplicates(["id", "item_pos"]), "item")
 
 
+@query
+def p3_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Every long item rebuilt from its pieces: number of characters and digest; and its longest piece, which is within the limit."""
+    cut = p3_pieces(spark, sf).select("id", "item_pos", "piece_no", F.length("piece").alias("n"), F.expr("substring(piece, overlap + 1)").alias("own"))
+    rows = cut.groupBy("id", "item_pos").agg(F.array_sort(F.collect_list(F.struct("piece_no", "own"))).alias("x"), F.max("n").alias("longest"))
+    item = F.array_join(F.transform("x", lambda p: p["own"]), "")
+    return rows.select("id", "item_pos", F.length(item).cast("bigint").alias("n_chars"), F.sha2(item, 256).alias("digest"), (F.col("longest") <= pieces.LIMIT).alias("within"))
+
+
+SQL["p3_rebuilt"] = """
+SELECT DISTINCT id, CAST(i - 1 AS INTEGER) AS item_pos, length(evidence[i]) AS n_chars, sha256(evidence[i]) AS digest, true AS within
+FROM (SELECT id, evidence, unnest(range(1, len(evidence) + 1)) AS i FROM relation_examples) WHERE length(evidence[i]) > 1200
+"""
+
+
 # 4 matching entities across sources without keys
 
 
@@ -153,6 +171,22 @@ def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
     return bundles.assigned(bundles.bundles(ids, "id", keys, "id", "key"), fractions).select(F.col("record").alias("id"), "bundle_id", "split_target")
 
 
+@query
+def p5_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each target split, and bundles that stand in more than one (there are none). Single rows fill what the bundles leave, so
+    the totals are the plan's to the row."""
+    rows = p5_splits(spark, sf)
+    divided = rows.groupBy("bundle_id").agg(F.count_distinct("split_target").alias("k")).agg(F.count(F.when(F.col("k") > 1, 1)).alias("divided"))
+    return rows.groupBy("split_target").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(divided))  # one row
+
+
+SQL["p5_totals"] = """
+WITH t AS (SELECT count(*) AS t FROM (SELECT id FROM relation_examples WHERE id IS NOT NULL UNION SELECT id FROM identity_pairs WHERE id IS NOT NULL)),
+p AS (SELECT split_target, round_even(t * target_fraction / sum(target_fraction) OVER (), 0) AS n, t, row_number() OVER (ORDER BY target_fraction DESC, split_target DESC) AS k FROM split_plan, t)
+SELECT split_target, CAST(CASE WHEN k = 1 THEN t - (SELECT sum(n) FROM p WHERE k > 1) ELSE n END AS BIGINT) AS n, 0::BIGINT AS divided FROM p
+"""
+
+
 # 6 variant spellings of names
 
 
@@ -212,7 +246,7 @@ SELECT node AS entity_id, least(node, min(other)) AS group_entity FROM reach GRO
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id and the token ids of its text; [] for empty and null texts."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", bpe.token_ids(spark, "text").alias("ids"))
+    return docs.select("doc_id", bpe.token_ids(spark, "text", VOCABULARY).alias("ids"))
 
 
 # 9 filling fixed-capacity containers
@@ -222,7 +256,7 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's pieces with their container of 2,048 tokens."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return packing.packed(docs.select("doc_id", bpe.token_count(spark, "text").alias("n_tokens")), "doc_id", "n_tokens")
+    return packing.packed(docs.select("doc_id", bpe.token_count(spark, "text", VOCABULARY).alias("n_tokens")), "doc_id", "n_tokens")
 
 
 @query

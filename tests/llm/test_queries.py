@@ -1,0 +1,31 @@
+"""The queries of the subpackage that SQL can express, on the smallest tables."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from attestra.llm import queries
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, db, name):
+    df = queries.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    got = sorted(str([r[c] for c in cols]) for r in df.collect())
+    rel = db.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in rel.description]
+    assert sorted(names) == cols
+    assert got == sorted(str([r[names.index(c)] for c in cols]) for r in rel.fetchall())

@@ -10,9 +10,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from attestra.llm import bpe, forms, packing, pieces, words
+from attestra.llm import bpe, forms, packing, pieces, queries, words
 
-VOCABULARY = os.path.exists(bpe.VOCABULARY)
+VOCABULARY = os.path.exists(queries.VOCABULARY)
 
 
 @settings(max_examples=150, deadline=None)
@@ -48,13 +48,18 @@ def test_folded_words():
 def test_bpe_equals_public_library():
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.VOCABULARY, "rb"))}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.VOCABULARY, "rb"))}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(1)
     parts = ["'s", "'ll", "'re", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "'", "a", "Zq", "9", "½", "中文", "é", "’", "!!", "'S", "²", "𝐀", "😀", "ing", "<|endoftext|>"]
     rows = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(3000)] + [None, "", "a" * 5000, "xy" * 3000, "中" * 3000]
-    e = bpe.Encoder(open(bpe.VOCABULARY, "rb").read())
+    # single pre-tokens above the length from which they are merged by themselves, of letters in which many merges apply
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "etaoinshr", "ab", "aaab", "éüñç", "中文字"):
+        rows += ["".join(rng.choices(letters, k=rng.randrange(400, 2500))) for _ in range(6)]
+    words = ["the", "ing", "tion", "er", "on", "ss", "and"]
+    rows += ["".join(rng.choice(words) for _ in range(400)) for _ in range(6)]
+    e = bpe.Encoder(open(queries.VOCABULARY, "rb").read())
     want = [plain.encode_ordinary(x or "") for x in rows]
     assert e.encode(pa.array(rows)).to_pylist() == want
     assert e.counts(pa.array(rows)).to_pylist() == [len(x) for x in want]
@@ -66,7 +71,7 @@ def test_bpe_equals_public_library():
 @pytest.mark.skipif(not VOCABULARY, reason="no vocabulary file")
 def test_token_columns(spark):
     df = spark.createDataFrame([(1, "Hello world", "x"), (2, None, "x"), (3, "", "x")], "doc_id int, text string, ids string")
-    got = {r.doc_id: (r.n, r.t) for r in df.select("doc_id", bpe.token_count(spark, "text").alias("n"), bpe.token_ids(spark, "text").alias("t")).collect()}
+    got = {r.doc_id: (r.n, r.t) for r in df.select("doc_id", bpe.token_count(spark, "text", queries.VOCABULARY).alias("n"), bpe.token_ids(spark, "text", queries.VOCABULARY).alias("t")).collect()}
     assert got == {1: (2, [15496, 995]), 2: (0, []), 3: (0, [])}
 
 
