@@ -6,8 +6,8 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from .ordering import ranked
 from .store import digest
 
 
@@ -34,10 +34,11 @@ def staged_sample(rows: DataFrame, key: str, group: str, domain: str, stages: li
     """Rows with the first stage that takes them: each domain's rows rank by digest, a stage takes the ranks up to its share,
     and then the whole groups of what it took. Rows of a null domain or key are never taken."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
-    ranked = rows.where(F.col(key).isNotNull() & F.col(domain).isNotNull()).withColumn("_r", F.row_number().over(W.partitionBy(domain).orderBy(order, key)))
-    domains = ranked.agg(F.count_distinct(domain).alias("_d"))
+    held = rows.where(F.col(key).isNotNull() & F.col(domain).isNotNull()).withColumn("_o", order)
+    placed = ranked(held, [domain], "_o", key, name="_r").drop("_o")
+    domains = placed.agg(F.count_distinct(domain).alias("_d"))
     share = F.expr("CASE " + " ".join(f"WHEN _r <= ceil({s} / _d) THEN {i}" for i, s in enumerate(stages)) + " END")
-    taken = ranked.join(F.broadcast(domains)).withColumn("_stage", share)  # one row is broadcast
+    taken = placed.join(F.broadcast(domains)).withColumn("_stage", share)  # one row is broadcast
     first = taken.where("_stage is not null").groupBy(group).agg(F.min("_stage").alias("stage"))
     return rows.join(first, group).select(*rows.columns, "stage")
 

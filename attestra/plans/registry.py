@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import fits, graphs, metrics, pairings, reports, scalars, scoring, selection  # noqa: F401  (their queries register on import)
+    from . import fits, graphs, metrics, pairings, replay, reports, scalars, scoring, selection  # noqa: F401  (their queries register on import)
