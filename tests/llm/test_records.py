@@ -209,6 +209,22 @@ def test_linkage_many_authors(spark, monkeypatch):
         assert got == want
 
 
+def test_linkage_levels_apart(spark, monkeypatch):
+    """No stage holds the joins of more than one level: the driver gets the metrics of all joins of a stage from each of its tasks."""
+    joins, staged = [], linkage.staged
+
+    def counted(df, label="stage"):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return staged(df, label)
+
+    monkeypatch.setattr(linkage, "HOT", 0)  # split until half of the twelve attributes are met: six levels
+    monkeypatch.setattr(linkage, "staged", counted)
+    own = [spark.createDataFrame([(i, list(range(12)), [1.0] * 12) for i in ids], "id int, attrs array<bigint>, weights array<double>") for ids in (range(5), range(10, 15))]
+    got = {(r.l, r.r): r.mask for r in linkage._candidates(*own).collect()}
+    assert got == {(x, y): (1 << 12) - 1 for x in range(5) for y in range(10, 15)}
+    assert len(joins) > 18 and max(joins) <= 9
+
+
 def test_shared_spans(spark):
     rng = random.Random(9)
     noise = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n))
