@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import sorted_join
 from .graph import components
 
 ENUMERATE, FOREST, CUTSET, FLOW = 16, 256, 4, 2048  # vertices; vertices; cut vertices; vertices of a two-colourable component
@@ -29,8 +30,8 @@ def conflict_edges(assertions: DataFrame) -> DataFrame:
     x = x.withColumns({"f": first, "long": last - first >= SPAN}).withColumn("l", F.when(~F.col("long"), last))
     rename = lambda df: df.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("id", "object", "polarity", "s", "e", "f", "long")], *[c for c in df.columns if c == "bucket"])
     short = x.where("not long").withColumn("bucket", F.explode(F.sequence("f", "l")))
-    near = short.join(rename(short), [*keys, "bucket"]).where((F.col("bucket") == F.greatest("f", "f2")) & (F.col("id") < F.col("id2")))
-    far = x.where("long").join(rename(x), keys).where((F.col("id") != F.col("id2")) & (~F.col("long2") | (F.col("id") < F.col("id2"))))
+    near = short.join(sorted_join(rename(short)), [*keys, "bucket"]).where((F.col("bucket") == F.greatest("f", "f2")) & (F.col("id") < F.col("id2")))
+    far = x.where("long").join(sorted_join(rename(x)), keys).where((F.col("id") != F.col("id2")) & (~F.col("long2") | (F.col("id") < F.col("id2"))))
     columns = ["id", "id2", "object", "object2", "polarity", "polarity2", "s", "s2", "e", "e2"]
     met = near.select(*columns).unionByName(far.select(*columns)).where((F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")))
     clash = F.when(F.col("object") == F.col("object2"), F.col("polarity") != F.col("polarity2")).otherwise((F.col("polarity") == 1) & (F.col("polarity2") == 1))
@@ -203,12 +204,12 @@ def resolve(assertions: DataFrame) -> DataFrame:
     edges = conflict_edges(assertions)
     comps = components(edges, "a", "b").withColumnRenamed("node", "id").withColumnRenamed("root", "component")
     sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = assertions.select("id", "weight").join(comps, "id", "left").join(sizes, "component", "left")
+    placed = assertions.select("id", "weight").join(sorted_join(comps), "id", "left").join(sorted_join(sizes), "component", "left")
     alone = placed.where("component is null").select("id", F.col("id").alias("component"), F.lit(True).alias("chosen"), F.lit("exact: alone").alias("state"))
     over = placed.where(F.col("size") > FLOW).select("id", "component", F.lit(False).alias("chosen"), F.lit("staged: vertices").alias("state"))
     small = placed.where(F.col("size") <= FLOW)
     out_edges = edges.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("near"))  # below FLOW for those that are solved
-    rows = small.join(out_edges, "id", "left").groupBy("component").agg(F.collect_list(F.struct("id", "weight", "near")).alias("v"))
+    rows = small.join(sorted_join(out_edges), "id", "left").groupBy("component").agg(F.collect_list(F.struct("id", "weight", "near")).alias("v"))
     kind = assertions.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

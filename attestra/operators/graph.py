@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged, unstage
+from ..session import sorted_join, staged, unstage
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -14,15 +14,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     both = staged(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = staged(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("root")), "labels")
     while True:
-        seen = both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").select(F.col("u").alias("node"), "r")
+        seen = both.join(sorted_join(labels.select(F.col("node").alias("v"), F.col("root").alias("r"))), "v").select(F.col("u").alias("node"), "r")
         own = labels.select("node", F.col("root").alias("r"))
         # a node's offer also reaches its former root, so that trees hook as a whole
-        offers = seen.join(labels, "node").select(F.col("root").alias("node"), "r")
+        offers = seen.join(sorted_join(labels), "node").select(F.col("root").alias("node"), "r")
         low = seen.unionByName(own).unionByName(offers).groupBy("node").agg(F.min("r").alias("low"))
         jump = low.select(F.col("node").alias("_n"), F.col("low").alias("_j"))
-        new = low.join(jump, F.col("low") == F.col("_n")).select("node", F.col("_j").alias("root"))
+        new = low.join(sorted_join(jump), F.col("low") == F.col("_n")).select("node", F.col("_j").alias("root"))
         old = labels.select("node", F.col("root").alias("_old"))
-        new = staged(new.join(old, "node").select("node", "root", (F.col("root") != F.col("_old")).alias("moved")), "labels")
+        new = staged(new.join(sorted_join(old), "node").select("node", "root", (F.col("root") != F.col("_old")).alias("moved")), "labels")
         unstage(labels)
         labels = new
         if labels.where("moved").isEmpty():

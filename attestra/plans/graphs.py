@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators import conflicts, graph, lineage
-from ..session import staged, table
+from ..session import sorted_join, staged, table
 from .metrics import count, n
 from .registry import query
 
@@ -196,9 +196,9 @@ def i4_certificate(spark: SparkSession, sf: str) -> DataFrame:
     a = _assertions(spark, sf)
     r = staged(conflicts.resolve(a), "resolved")
     chosen = r.where("chosen").select("id", "component")
-    bad = conflicts.conflict_edges(a).join(chosen.toDF("a", "component"), "a").join(chosen.select(F.col("id").alias("b")), "b").groupBy("component").agg(n().alias("conflicts"))
-    sums = r.join(a.select("id", "weight"), "id").groupBy("component").agg(n().alias("n"), F.sum(F.when(F.col("chosen"), F.col("weight")).otherwise(0)).alias("weight"))
-    return sums.join(bad, "component", "left").select("component", "n", "weight", F.coalesce("conflicts", F.lit(0).cast("bigint")).alias("conflicts"))
+    bad = conflicts.conflict_edges(a).join(sorted_join(chosen.toDF("a", "component")), "a").join(sorted_join(chosen.select(F.col("id").alias("b"))), "b").groupBy("component").agg(n().alias("conflicts"))
+    sums = r.join(sorted_join(a.select("id", "weight")), "id").groupBy("component").agg(n().alias("n"), F.sum(F.when(F.col("chosen"), F.col("weight")).otherwise(0)).alias("weight"))
+    return sums.join(sorted_join(bad), "component", "left").select("component", "n", "weight", F.coalesce("conflicts", F.lit(0).cast("bigint")).alias("conflicts"))
 
 
 @query(_optimum("1 + id % 9 + CASE WHEN id % 97 = 0 THEN 5 ELSE 0 END") + " SELECT component, n, CAST(weight AS BIGINT) AS weight FROM b JOIN k USING (component) WHERE component IN (SELECT component FROM c WHERE id % 97 = 0)")

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
+from attestra import session
 from attestra.operators import conflicts, graph, lineage
+from attestra.plans import graphs, registry
 
 
 def union_find(edges):
@@ -115,6 +117,27 @@ def test_independent_sets(monkeypatch, enumerate_to):
             assert sum(weight[v] for v in chosen) == heaviest(weight, edges)
 
 
+@pytest.mark.parametrize("name", ["i4_certificate"])
+def test_resolution_gathers_no_table(spark, monkeypatch, tmp_path, name):
+    """Joins of sides that grow with the events are no broadcasts, however small Spark takes the staged files for."""
+    plans, staged = [], session.staged
+
+    def planned(df, label="stage"):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return staged(df, label)
+
+    for module in (graph, graphs):
+        monkeypatch.setattr(module, "staged", planned)
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(3 * 10**5), rng.randrange(9), rng.choice("ab"), f'{{"k": {rng.randrange(4)}}}') for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id bigint, t bigint, user_id bigint, event_type string, props string")
+    events.selectExpr("event_id", "timestamp_seconds(t) as ts", "user_id", "event_type", "props").write.parquet(f"{tmp_path}/events.parquet")
+    out = registry.queries()[name](spark, str(tmp_path))
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert out.count() > 0 and sum("SortMergeJoin" in p for p in plans) > 2
+    assert not [line for p in plans for line in p.splitlines() if "Broadcast" in line]
+
+
 def test_resolution(spark):
     rows = [(1, "s", "p", "x", 1, 0, 10, 5), (2, "s", "p", "y", 1, 5, 7, 9), (3, "s", "p", "x", -1, None, None, 3), (4, "t", "p", "x", 1, 0, 1, 2)]
     a = spark.createDataFrame([(r[0], r[1], r[2], "all", *r[3:]) for r in rows], "id int, subject string, predicate string, scope string, object string, polarity int, start bigint, end bigint, weight bigint")
