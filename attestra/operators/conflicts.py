@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import sorted_join
+from ..session import sorted_join, staged
 from .graph import components
 
 ENUMERATE, FOREST, CUTSET, FLOW = 16, 256, 4, 2048  # vertices; vertices; cut vertices; vertices of a two-colourable component
@@ -237,16 +237,16 @@ def certificate(assertions: DataFrame, resolved: DataFrame) -> DataFrame:
 def component_digests(assertions: DataFrame, resolved: DataFrame) -> DataFrame:
     """component, state_hash: an order-free digest of each component's vertices and weights."""
     h = F.xxhash64("id", "weight")
-    rows = resolved.select("id", "component").join(assertions.select("id", "weight"), "id")
+    rows = resolved.select("id", "component").join(sorted_join(assertions.select("id", "weight")), "id")
     return rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 16)).alias("y"))
 
 
 def resolve_changed(assertions: DataFrame, changed: DataFrame, former: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(resolution, re-solved components) after `changed` (id, weight) replaced weights: components whose digest is as before keep
     their rows of `former`; only the others are solved again. Weights don't change who conflicts with whom."""
-    new = assertions.join(changed.select("id", F.col("weight").alias("_w")), "id", "left").withColumn("weight", F.coalesce("_w", "weight")).drop("_w")
+    new = assertions.join(sorted_join(changed.select("id", F.col("weight").alias("_w"))), "id", "left").withColumn("weight", F.coalesce("_w", "weight")).drop("_w")
     before, after = component_digests(assertions, former), component_digests(new, former)
-    touched = after.join(before, ["component", "size", "x", "y"], "left_anti").select("component")
-    rows = former.select("id", "component").join(touched, "component")
-    again = resolve(new.join(rows.select("id"), "id", "left_semi"))
-    return former.join(touched, "component", "left_anti").unionByName(again), touched
+    touched = staged(after.join(sorted_join(before), ["component", "size", "x", "y"], "left_anti").select("component"), "touched")
+    rows = former.select("id", "component").join(sorted_join(touched), "component")
+    again = resolve(staged(new.join(sorted_join(rows.select("id")), "id", "left_semi"), "again"))  # read several times
+    return former.join(sorted_join(touched), "component", "left_anti").unionByName(again), touched

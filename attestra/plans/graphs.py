@@ -209,8 +209,8 @@ def i9_delta(spark: SparkSession, sf: str) -> DataFrame:
     changed = a.where("id % 97 = 0").select("id", (F.col("weight") + 5).alias("weight"))
     new, touched = conflicts.resolve_changed(a, changed, former)
     weights = a.select("id", (F.col("weight") + F.when(F.col("id") % 97 == 0, 5).otherwise(0)).alias("weight"))
-    again = new.join(touched, "component")
-    return again.join(weights, "id").groupBy("component").agg(n().alias("n"), F.sum(F.when(F.col("chosen"), F.col("weight")).otherwise(0)).alias("weight"))
+    again = new.join(sorted_join(touched), "component")
+    return again.join(sorted_join(weights), "id").groupBy("component").agg(n().alias("n"), F.sum(F.when(F.col("chosen"), F.col("weight")).otherwise(0)).alias("weight"))
 
 
 @query("""

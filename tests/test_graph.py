@@ -117,7 +117,7 @@ def test_independent_sets(monkeypatch, enumerate_to):
             assert sum(weight[v] for v in chosen) == heaviest(weight, edges)
 
 
-@pytest.mark.parametrize("name", ["i4_certificate"])
+@pytest.mark.parametrize("name", ["i4_certificate", "i9_delta"])
 def test_resolution_gathers_no_table(spark, monkeypatch, tmp_path, name):
     """Joins of sides that grow with the events are no broadcasts, however small Spark takes the staged files for."""
     plans, staged = [], session.staged
@@ -126,7 +126,7 @@ def test_resolution_gathers_no_table(spark, monkeypatch, tmp_path, name):
         plans.append(df._jdf.queryExecution().sparkPlan().toString())
         return staged(df, label)
 
-    for module in (graph, graphs):
+    for module in (graph, graphs, conflicts):
         monkeypatch.setattr(module, "staged", planned)
     rng = random.Random(5)
     rows = [(i, rng.randrange(3 * 10**5), rng.randrange(9), rng.choice("ab"), f'{{"k": {rng.randrange(4)}}}') for i in range(300)]
