@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush, nlargest
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from ..session import sorted_join, staged
 from .graph import components
 
-ENUMERATE, FOREST, CUTSET, FLOW = 16, 256, 4, 2048  # vertices; vertices; cut vertices; vertices of a two-colourable component
+# where the search of all other components would be the longer way: vertices; vertices; cut vertices; vertices of a two-colourable component
+ENUMERATE, FOREST, CUTSET, FLOW = 16, 256, 4, 2048
+STATES, CHECKED, WITNESSES = 20_000, 32, 8  # states at once before a component is branched; degree up to which neighbours are compared; states that others are compared with
 WIDTH, SPAN = 24, 64  # units of time to a bucket; buckets of a short interval
 
 
@@ -88,6 +91,7 @@ def min_cut(nodes: list, weight: dict, near: dict, color: dict) -> tuple[list, i
     and weighs the total less the flow. Shortest augmenting paths, all of one length in a phase."""
     flow: dict = {v: {} for v in nodes}  # over edges from colour 0
     left = {v: weight[v] for v in nodes}  # what source or sink can still take
+    ahead = {v: sorted(near[v]) for v in nodes}
     total = 0
     while True:
         level = {v: 0 for v in nodes if color[v] == 0 and left[v] > 0}
@@ -100,20 +104,24 @@ def min_cut(nodes: list, weight: dict, near: dict, color: dict) -> tuple[list, i
                     found |= color[u] == 1 and left[u] > 0
         if not found:
             break
-        turn = {v: iter(sorted(near[v])) for v in level}
+        turn = dict.fromkeys(level, 0)  # an arc that leads nowhere does so for the whole phase
         for root in [v for v in nodes if level.get(v) == 0 and color[v] == 0]:
             while left[root] > 0:
                 path, v = [root], root
                 while not (color[v] == 1 and left[v] > 0):
-                    u = next((u for u in turn[v] if level.get(u) == level[v] + 1 and (color[v] == 0 or flow[u].get(v, 0) > 0)), None)
-                    if u is None:
+                    if turn[v] == len(ahead[v]):
                         path.pop()
                         if not path:
                             break
                         v = path[-1]
+                        turn[v] += 1
                         continue
-                    path.append(u)
-                    v = u
+                    u = ahead[v][turn[v]]
+                    if level.get(u) == level[v] + 1 and (color[v] == 0 or flow[u].get(v, 0) > 0):
+                        path.append(u)
+                        v = u
+                    else:
+                        turn[v] += 1
                 if not path:
                     break
                 amount = min(left[root], left[v], *[flow[b][a] for a, b in zip(path, path[1:], strict=False) if color[a] == 1])
@@ -125,36 +133,171 @@ def min_cut(nodes: list, weight: dict, near: dict, color: dict) -> tuple[list, i
                 left[root] -= amount
                 left[v] -= amount
                 total += amount
-                turn = {v: iter(sorted(near[v])) for v in level}
     return sorted(v for v in nodes if (v in level) == (color[v] == 0)), total
 
 
-def solve(weight: dict, edges: list[tuple]) -> tuple[list, str]:
-    """(chosen ids, state) of one component: enumeration up to 16 vertices (of equally heavy sets the lexicographically least),
-    a forest up to 256, a cut set of up to 4 vertices whose removal leaves a forest, a least cut up to 2,048 where two colours
-    suffice; anything else is staged, with none chosen."""
-    nodes = sorted(weight)
-    near = {v: set() for v in nodes}
-    for a, b in edges:
-        near[a].add(b)
-        near[b].add(a)
-    if len(nodes) <= ENUMERATE:
-        best = (0, ())
+def _reduced(weight: dict, near: dict) -> tuple[list, dict]:
+    """(taken, what is left of near): some heaviest set holds the taken vertices and a heaviest set of those left. A vertex is
+    taken if it weighs as much as its neighbours together, and dropped if it weighs nothing or has a neighbour that is as heavy
+    and in conflict with no other vertex than it is."""
+    live, taken = {v: set(n) for v, n in near.items()}, []
+    queue = sorted(live, reverse=True)
+    waiting = set(queue)
 
-        def grow(i: int, got: tuple, total: int, banned: frozenset) -> None:
-            nonlocal best
-            if total > best[0] or total == best[0] and got and (not best[1] or got < best[1]):
-                best = (total, got)
-            for j in range(i, len(nodes)):
-                if nodes[j] not in banned:
-                    grow(j + 1, (*got, nodes[j]), total + weight[nodes[j]], banned | near[nodes[j]])
+    def drop(v) -> None:
+        for u in live.pop(v):
+            live[u].discard(v)
+            if u not in waiting:
+                waiting.add(u)
+                queue.append(u)
 
-        grow(0, (), 0, frozenset())
-        return list(best[1]), "exact: enumeration"
-    if len(nodes) <= FLOW and (color := colored(nodes, near)) is not None:
-        return min_cut(nodes, weight, near, color)[0], "exact: flow"
-    if len(nodes) > FOREST:
-        return [], "staged: vertices"
+    while queue:
+        v = queue.pop()
+        waiting.discard(v)
+        if v not in live:
+            continue
+        if weight[v] <= 0:
+            drop(v)
+        elif weight[v] >= sum(weight[u] for u in live[v]):
+            taken.append(v)
+            for u in list(live[v]):
+                drop(u)
+            drop(v)
+        elif len(live[v]) <= CHECKED:
+            for u in sorted(live[v]):
+                if weight[u] <= weight[v] and len(live[u]) >= len(live[v]) and all(x == u or x in live[u] for x in live[v]):
+                    drop(u)
+    return taken, live
+
+
+def _swept(near: dict) -> list:
+    """The vertices in an order in which few are begun: next is a neighbour of the former ones that brings in the fewest others."""
+    order, unseen, done, heap = [], {v: len(n) for v, n in near.items()}, set(), []
+    seen: set = set()
+
+    def see(v) -> None:
+        if v not in seen:
+            seen.add(v)
+            for u in near[v]:
+                unseen[u] -= 1
+                if u in seen and u not in done:
+                    heappush(heap, (unseen[u], u))
+            heappush(heap, (unseen[v], v))
+
+    for root in sorted(near, key=lambda v: (len(near[v]), v)):
+        see(root)
+        while heap:
+            n, v = heappop(heap)
+            if v in done or n != unseen[v]:
+                continue
+            done.add(v)
+            order.append(v)
+            for u in sorted(near[v]):
+                see(u)
+    return order
+
+
+def _by_states(weight: dict, near: dict, rank: dict | None = None) -> list | None:
+    """Heaviest independent set by the vertices in turn: a state is the set of later vertices that the chosen ones forbid. A state
+    is left out if another one is heavier by all that can be chosen of what it forbids in addition (one vertex of a clique at
+    most). None if there are more than STATES at once."""
+    order = sorted(near, key=lambda v: rank[v]) if rank else _swept(near)
+    at = {v: i for i, v in enumerate(order)}
+    clique: dict = {}  # a division of the vertices into cliques
+    sizes: list = []
+    for v in order:
+        met: dict = {}
+        for u in near[v]:
+            if u in clique:
+                met[clique[u]] = met.get(clique[u], 0) + 1
+        whole = [c for c, n in met.items() if n == sizes[c]]
+        clique[v] = max(whole, key=lambda c: (sizes[c], c)) if whole else len(sizes)
+        if whole:
+            sizes[clique[v]] += 1
+        else:
+            sizes.append(1)
+    states: dict = {0: (0, None)}
+    for i, v in enumerate(order):
+        later = 0
+        for u in near[v]:
+            if at[u] > i:
+                later |= 1 << (at[u] - i - 1)
+        new: dict = {}
+        for mask, (total, chosen) in states.items():
+            rest = mask >> 1
+            if rest not in new or new[rest][0] < total:
+                new[rest] = (total, chosen)
+            if not mask & 1:
+                rest, more = rest | later, total + weight[v]
+                if rest not in new or new[rest][0] < more:
+                    new[rest] = (more, (v, chosen))
+        best = nlargest(WITNESSES, new.items(), key=lambda x: x[1][0])
+        states = {}
+        for mask, (total, chosen) in new.items():
+            for other, (most, _) in best:
+                if most < total or other == mask:
+                    continue
+                spare, extra, tops = most - total, other & ~mask, {}
+                while extra and spare >= 0:
+                    bit = extra & -extra
+                    u = order[i + bit.bit_length()]
+                    c, w = clique[u], weight[u]
+                    if w > (top := tops.get(c, 0)):
+                        spare -= w - top
+                        tops[c] = w
+                    extra ^= bit
+                if spare >= 0:
+                    break
+            else:
+                states[mask] = (total, chosen)
+        if len(states) > STATES:
+            return None
+    out, chosen = [], states[0][1]
+    while chosen:
+        out.append(chosen[0])
+        chosen = chosen[1]
+    return out
+
+
+def _search(weight: dict, near: dict, rank: dict | None = None) -> list:
+    """Heaviest independent set of any graph: reduced, each part by itself by a least cut or by states; where these are too many,
+    the better of the two ways with and without the vertex of most conflicts. The time has no bound but all sets."""
+    out, live = _reduced(weight, near)
+    twins: dict = {}  # those of equal conflicts are one vertex, as heavy as all of them
+    for v, n in live.items():
+        twins.setdefault(frozenset(n), []).append(v)
+    if len(twins) < len(live):
+        same = {vs[0]: vs for vs in twins.values()}
+        fewer = {v: {u for u in live[v] if u in same} for v in same}
+        return out + [u for v in _search({v: sum(weight[u] for u in vs) for v, vs in same.items()}, fewer, rank) for u in same[v]]
+    seen: set = set()
+    for root in live:
+        if root in seen:
+            continue
+        part = [root]
+        seen.add(root)
+        for v in part:
+            for u in live[v]:
+                if u not in seen:
+                    seen.add(u)
+                    part.append(u)
+        sub = {v: live[v] for v in sorted(part)}
+        if (color := colored(list(sub), sub)) is not None:
+            out += min_cut(list(sub), weight, sub, color)[0]
+            continue
+        got = _by_states(weight, sub, rank)
+        if got is None:
+            pivot = max(sub, key=lambda v: (len(sub[v]), weight[v]))
+            without = lambda gone: {v: n - gone for v, n in sub.items() if v not in gone}  # noqa: B023, E731
+            ways = [_search(weight, without({pivot}), rank), [pivot, *_search(weight, without({pivot} | sub[pivot]), rank)]]
+            got = max(ways, key=lambda x: sum(weight[v] for v in x))
+        out += got
+    return out
+
+
+def _cut_set(nodes: list, weight: dict, near: dict) -> tuple[list, int] | None:
+    """(heaviest independent set, cut vertices) by all choices among up to CUTSET vertices whose removal leaves a forest; None if
+    these are not enough."""
     cut, live = [], {v: set(n) for v, n in near.items()}
 
     def cyclic() -> list:
@@ -175,7 +318,7 @@ def solve(weight: dict, edges: list[tuple]) -> tuple[list, str]:
 
     while core := cyclic():
         if len(cut) == CUTSET:
-            return [], "staged: cut set"
+            return None
         v = max(sorted(core), key=lambda x: len(live[x]))
         cut.append(v)
         for u in live.pop(v):
@@ -192,7 +335,37 @@ def solve(weight: dict, edges: list[tuple]) -> tuple[list, str]:
         total = sum(weight[v] for v in got)
         if total > best[0]:
             best = (total, sorted(got))
-    return best[1], "exact: cut set" if cut else "exact: forest"
+    return best[1], len(cut)
+
+
+def solve(weight: dict, edges: list[tuple], rank: dict | None = None) -> tuple[list, str]:
+    """(chosen ids, state) of one component, always a heaviest set: enumeration up to 16 vertices (of equally heavy sets the
+    lexicographically least), a least cut up to 2,048 where two colours suffice, up to 256 a cut set of up to 4 vertices whose
+    removal leaves a forest; anything else is searched, in the order of rank if that is given (intervals by their starts: few are
+    open at once)."""
+    nodes = sorted(weight)
+    near = {v: set() for v in nodes}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    if len(nodes) <= ENUMERATE:
+        best = (0, ())
+
+        def grow(i: int, got: tuple, total: int, banned: frozenset) -> None:
+            nonlocal best
+            if total > best[0] or total == best[0] and got and (not best[1] or got < best[1]):
+                best = (total, got)
+            for j in range(i, len(nodes)):
+                if nodes[j] not in banned:
+                    grow(j + 1, (*got, nodes[j]), total + weight[nodes[j]], banned | near[nodes[j]])
+
+        grow(0, (), 0, frozenset())
+        return list(best[1]), "exact: enumeration"
+    if len(nodes) <= FLOW and (color := colored(nodes, near)) is not None:
+        return min_cut(nodes, weight, near, color)[0], "exact: flow"
+    if len(nodes) <= FOREST and (found := _cut_set(nodes, weight, near)) is not None:
+        return found[0], "exact: cut set" if found[1] else "exact: forest"
+    return sorted(_search(weight, near, rank)), "exact: search"
 
 
 def resolve(assertions: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ class DeltaIndex:
     """components: vertex to component is derived from the edges; `total` is the weight of the heaviest independent set.
 
     weight: vertex to weight (at least 0). Components of up to SMALL vertices are solved as matrix products over all subsets,
-    all components of one size together; larger ones by `conflicts.solve`, and those it stages count as 0.
+    all components of one size together; larger ones by `conflicts.solve`.
     """
 
     def __init__(self, weight: dict, edges: list[tuple]):

@@ -117,6 +117,35 @@ def test_independent_sets(monkeypatch, enumerate_to):
             assert sum(weight[v] for v in chosen) == heaviest(weight, edges)
 
 
+@pytest.mark.parametrize("states", [20_000, 1])
+def test_independent_sets_by_search(monkeypatch, states):
+    for name, value in (("ENUMERATE", 0), ("FLOW", 0), ("FOREST", 0), ("STATES", states)):
+        monkeypatch.setattr(conflicts, name, value)
+    rng = random.Random(8)
+    for i in range(200):
+        n = rng.randrange(1, 12)
+        weight = {i: rng.randrange(0, 9) for i in range(n)}
+        edges = [(a, b) for a in range(n) for b in range(a) if rng.random() < rng.choice([0.2, 0.4, 0.7])]
+        chosen, state = conflicts.solve(weight, edges, rng.choice([None, {v: i for i, v in enumerate(rng.sample(range(n), n))}]))
+        assert state == "exact: search" and not any(a in chosen and b in chosen for a, b in edges)
+        assert sum(weight[v] for v in chosen) == heaviest(weight, edges)
+
+
+@pytest.mark.parametrize("blocks", [20, 900])
+def test_no_component_is_left(blocks):
+    """A chain of triangles has no two colours, no small cut set, and here up to 2,700 vertices; each is solved whole."""
+    rng = random.Random(blocks)
+    weight = {i: rng.randrange(1, 9) for i in range(3 * blocks)}
+    edges = [(i + a, i + b) for i in range(0, 3 * blocks, 3) for a, b in ((0, 1), (0, 2), (1, 2))] + [(i - 1, i) for i in range(3, 3 * blocks, 3)] + [(i - 2, i + 1) for i in range(3, 3 * blocks, 3)]
+    best = {None: 0}  # by the place taken in the last triangle
+    for i in range(0, 3 * blocks, 3):
+        free = {p: [v for q, v in best.items() if (q, p) not in ((2, 0), (1, 1))] for p in range(3)}
+        best = {p: max(v) + weight[i + p] for p, v in free.items() if v} | {None: max(best.values())}
+    chosen, state = conflicts.solve(weight, edges)
+    assert state.startswith("exact") and not any(a in chosen and b in chosen for a, b in edges)
+    assert sum(weight[v] for v in chosen) == max(best.values())
+
+
 @pytest.mark.parametrize("name", ["i4_certificate", "i9_delta"])
 def test_resolution_gathers_no_table(spark, monkeypatch, tmp_path, name):
     """Joins of sides that grow with the events are no broadcasts, however small Spark takes the staged files for."""
