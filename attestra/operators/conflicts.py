@@ -371,32 +371,41 @@ def solve(weight: dict, edges: list[tuple], rank: dict | None = None) -> tuple[l
 def resolve(assertions: DataFrame) -> DataFrame:
     """id, component, chosen, state: a heaviest conflict-free set of each component of the conflict graph.
 
-    Assertions without conflict are chosen. Components above 2,048 vertices are staged without leaving the JVM, so a task
-    never holds more than that. assertions also has `weight` (at least 0).
+    Assertions without conflict are chosen. The rows of a component reach one task in the order of their starts, and that task holds
+    one component at a time, of any size. assertions also has `weight` (at least 0).
     """
     edges = conflict_edges(assertions)
     comps = components(edges, "a", "b").withColumnRenamed("node", "id").withColumnRenamed("root", "component")
-    sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = assertions.select("id", "weight").join(sorted_join(comps), "id", "left").join(sorted_join(sizes), "component", "left")
+    placed = assertions.select("id", "weight", "start").join(sorted_join(comps), "id", "left")
     alone = placed.where("component is null").select("id", F.col("id").alias("component"), F.lit(True).alias("chosen"), F.lit("exact: alone").alias("state"))
-    over = placed.where(F.col("size") > FLOW).select("id", "component", F.lit(False).alias("chosen"), F.lit("staged: vertices").alias("state"))
-    small = placed.where(F.col("size") <= FLOW)
-    out_edges = edges.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("near"))  # below FLOW for those that are solved
-    rows = small.join(sorted_join(out_edges), "id", "left").groupBy("component").agg(F.collect_list(F.struct("id", "weight", "near")).alias("v"))
+    out_edges = edges.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("near"))
+    rows = placed.where("component is not null").join(sorted_join(out_edges), "id", "left")
+    rows = rows.repartition("component").sortWithinPartitions("component", "start", "id").select("component", "id", "weight", "near")
     kind = assertions.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, weight, near = None, {}, []
+
+        def solved() -> list[tuple]:
+            chosen, state = solve(weight, near, {v: i for i, v in enumerate(weight)})
+            got = set(chosen)
+            return [(v, at, v in got, state) for v in weight]
+
+        columns = ["id", "component", "chosen", "state"]
         for batch in batches:
             out = []
-            for c, vs in zip(batch["component"], batch["v"], strict=True):
-                weight = {v["id"]: int(v["weight"]) for v in vs}
-                chosen, state = solve(weight, [(v["id"], u) for v in vs for u in (v["near"] if v["near"] is not None else [])])
-                got = set(chosen)
-                out += [(v, c, v in got, state) for v in weight]
-            yield pd.DataFrame(out, columns=["id", "component", "chosen", "state"])
+            for c, v, w, vs in zip(*[batch[x].tolist() for x in ("component", "id", "weight", "near")], strict=True):
+                if c != at:
+                    out += solved() if weight else []
+                    at, weight, near = c, {}, []
+                weight[v] = int(w)
+                near += [(v, u) for u in vs.tolist()] if vs is not None else []
+            yield pd.DataFrame(out, columns=columns)
+        if weight:
+            yield pd.DataFrame(solved(), columns=columns)
 
     solved = rows.mapInPandas(run, f"id {kind}, component {kind}, chosen boolean, state string")
-    return alone.unionByName(over).unionByName(solved)
+    return alone.unionByName(solved)
 
 
 def certificate(assertions: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -175,3 +175,22 @@ def test_resolution(spark):
     c = conflicts.certificate(a, conflicts.resolve(a)).first()
     assert (c["rows"], c["chosen"], c["weight"], c["conflicts"]) == (4, 3, 14, 0)
     assert conflicts.resolve(a.limit(0)).count() == 0
+
+
+def test_resolution_of_long_components(spark):
+    """2,100 assertions of one subject, each in conflict with the next one, are solved as a whole, among smaller components."""
+    rng = random.Random(9)
+    weight = {i: rng.randrange(1, 9) for i in range(2100)}
+    rows = [(i, "s", "p", "all", f"x{i}", 1, 2 * i, 2 * i + 3, w) for i, w in weight.items()]
+    rows += [(5000 + i, f"t{i // 3}", "p", "all", f"x{i}", 1, None, None, 1 + i % 3) for i in range(60)]
+    rng.shuffle(rows)
+    a = spark.createDataFrame(rows, "id int, subject string, predicate string, scope string, object string, polarity int, start bigint, end bigint, weight bigint")
+    got = conflicts.resolve(a).collect()
+    assert sorted(r.id for r in got) == sorted(r[0] for r in rows) and all(r.state.startswith("exact") for r in got)
+    take = skip = 0
+    for w in weight.values():
+        take, skip = skip + w, max(take, skip)
+    chosen = {r.id for r in got if r.chosen}
+    assert not any(i in chosen and i + 1 in chosen for i in weight)
+    assert sum(weight[i] for i in chosen if i < 5000) == max(take, skip)
+    assert {i for i in chosen if i >= 5000} == {5002 + 3 * i for i in range(20)}
