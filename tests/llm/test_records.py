@@ -225,6 +225,26 @@ def test_linkage_levels_apart(spark, monkeypatch):
     assert len(joins) > 18 and max(joins) <= 9
 
 
+def test_linkage_gathers_no_table(spark, monkeypatch):
+    """No join of linkage is a broadcast, however small Spark takes the staged files for."""
+    plans, staged = [], linkage.staged
+
+    def planned(df, label="stage"):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return staged(df, label)
+
+    monkeypatch.setattr(linkage, "staged", planned)
+    monkeypatch.setattr(linkage, "HOT", 3)
+    record = lambda i: {"title": f"word{i} alpha{i % 2} beta study", "authors": f"Name{i}", "venue": "Journal (Place)"}
+    a = spark.createDataFrame([(i, record(i), None) for i in range(12)], "left_id int, record_1 map<string,string>, context string")
+    b = spark.createDataFrame([(i + 100, record(i), None) for i in range(12)], "right_id int, record_2 map<string,string>, context string")
+    out = linkage.link(a, "left_id", "record_1", b, "right_id", "record_2")
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert {(r.left_id, r.right_id) for r in out.collect()} == {(i, i + 100) for i in range(12)}
+    assert sum("SortMergeJoin" in p for p in plans) > 8
+    assert not [line for p in plans for line in p.splitlines() if "Broadcast" in line]
+
+
 def test_shared_spans(spark):
     rng = random.Random(9)
     noise = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n))
